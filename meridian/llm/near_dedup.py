@@ -3,14 +3,13 @@
 Each document is the set of its w-word shingles. Under one random permutation both the
 smallest and the largest shingle are kept, so ``bands * rows / 2`` hash evaluations give
 ``bands * rows`` signature values. Documents that agree on all values of a band meet in a
-bucket; a bucket's members are compared with its centres on their full shingle sets, and
-links become components.
+bucket; candidates are compared on their full shingle sets, and links become components.
 
 Defined results: a text that is null, empty or all white space has an empty set, links
 with nothing and is a class of its own. Texts of fewer words than a shingle are one
-shingle. Equal sets always link. Repeated rows of one id are one document if their texts
-are equal, else their sets count as separate texts of that id. Rows with a null id are
-left out of classes: their component is null and they are kept. Ties go to the smallest id.
+shingle. Equal sets always link. Repeated rows of one id are one document; ids must hold
+one text each (of several, one is compared). Rows with a null id are left out of classes:
+their component is null and they are kept. Ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -21,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, M3, Work, WordHashes, components, mix, pieces
+from .common import M1, M2, M3, Work, WordHashes, components, mix, pieces, spread
 
 #: Values in a band (half of them minima, half maxima) and bands: a pair at 0.85 is missed
 #: with probability (1 - 0.85^8)^48 = 2e-7, at 0.8 with 1e-4 (64 bands: 7e-6).
 ROWS, BANDS = 8, 48
-#: Buckets of so many unresolved members or fewer are compared completely at once; larger
-#: ones by one centre after another, until all are resolved.
-SMALL_BUCKET = 32
+#: Shingles of a block of documents in the grid, and the documents of a clump that is
+#: compared as one; a larger clump is compared bucket by bucket.
+BLOCK_SHINGLES, CLUMP = 32_000, 20_000
 
 SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("doc", pa.int64()), ("words", pa.binary())])
@@ -135,13 +134,61 @@ def confirmed(percent: int):
     return run
 
 
+def grid_links(percent: int):
+    """Compares a grid cell's open documents with its others; a link for each pair of
+    classes that one document joins. Rows come sorted by cell, open documents first."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(open_: list, others: list):
+        sets = [np.frombuffer(x[2], np.uint64) for x in open_]
+        sizes = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        by = np.argsort(flat, kind="stable")
+        sorted_, owner = flat[by], np.repeat(np.arange(len(sets)), sizes)[by]
+        links = []
+        for doc, root, words in others:
+            mine = np.frombuffer(words, np.uint64)
+            left, right = np.searchsorted(sorted_, mine, "left"), np.searchsorted(sorted_, mine, "right")
+            n = right - left
+            at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero(100 * common >= percent * (sizes + len(mine) - common))
+            links += {open_[k][1]: (open_[k][0], doc) for k in hit.tolist() if open_[k][1] != root}.values()
+        return links
+
+    def run(batches):
+        cell, open_, others = None, [], []
+
+        def done():
+            links = compare(open_, others) if open_ and others else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=out)
+
+        for batch in batches:
+            for *key, is_open, doc, root, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != cell:
+                    yield from done()
+                    cell, open_, others = key, [], []
+                (open_ if is_open else others).append((doc, root, words))
+                if len(others) >= 1024:
+                    yield from done()
+                    others = []
+        yield from done()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = 64) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept).
 
     Two documents link if 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest id reachable over links and kept marks that document.
-    Only candidate pairs of distinct texts are made, a number linear in bucket sizes per
-    round; exact copies join their class through the set's digest and are never paired.
+
+    Exact copies join their class through the set's digest and are never paired. A
+    bucket's members are first compared with its smallest one, which puts most of a group
+    into one class. What is then still open, the documents outside the largest class of
+    their clump, is compared with the whole clump on a grid of blocks: both sides of a cell
+    are bounded, so a group of any size is spread over tasks, and no pair is a row.
     """
     spark = docs.sparkSession
     work = Work(spark, "near-dedup")
@@ -150,44 +197,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Exact copies: one representative for each set.
     reps = work.keep(sketch.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.min("bands").alias("bands"), F.max("n").alias("n")), "representatives")
-    rows_ = reps.select(F.col("rep"), F.explode("bands").alias("key"))
-    shared = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre")).where("c > 1")
-    members = work.keep(rows_.join(shared.select("key", "c", "centre"), "key"), "buckets")
+    each = reps.select("rep", "n", F.explode("bands").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre")).where("c > 1")
+    members = work.keep(each.join(shared.select("key", "centre"), "key"), "buckets")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
-    texts = work.keep(read.where("doc is not null").join(wanted, "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0"), "sets")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
-        return work.keep(both.mapInArrow(confirmed(percent), "a long, b long"), "confirmed")
+    texts = work.keep(read.where("doc is not null").join(wanted, "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
 
     pairs = work.keep(members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    links = confirm(pairs)
-    tried = pairs
+    a, b = (texts.select(F.col("doc").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
+    links = work.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b").mapInArrow(confirmed(percent), "a long, b long"), "links")
     classes = work.keep(components(links, work), "classes")
-    left = members.where("rep > centre").select("key", "rep")
-    while True:
-        # Members that were no centre yet, in buckets where more than one class is left.
-        named = left.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("class"))
-        named = work.keep(named, "unresolved")
-        split = named.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre"), F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key", "c", "centre")
-        split = work.keep(split, "split")
-        if not split.head(1):
-            break
-        open_ = work.keep(named.join(split, "key"), "open")
-        small, large = open_.where(F.col("c") <= SMALL_BUCKET), open_.where(F.col("c") > SMALL_BUCKET)
-        other = small.select("key", F.col("rep").alias("a"), F.col("class").alias("class_a"))
-        own = small.select("key", F.col("rep").alias("b"), F.col("class").alias("class_b"))
-        all_pairs = other.join(own, "key").where("a > b and class_a <> class_b").select("a", "b")
-        middle = large.where("rep = centre").select("key", F.col("class").alias("class_b")).distinct()
-        star = large.join(middle, "key").where("rep <> centre and class <> class_b").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-        pairs = work.keep(all_pairs.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        found = confirm(pairs)
-        left = large.where("rep > centre").select("key", "rep")
-        if found.head(1):
-            links = links.unionByName(found)
-            classes = work.keep(components(links, work), "classes")
+
+    # A clump is what candidates alone connect; a very large one falls into its buckets.
+    clumps = work.keep(components(pairs, work), "clumps").withColumnRenamed("node", "rep")
+    sizes = clumps.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    clumps = clumps.join(sizes, "root").select("rep", F.when(F.col("c") <= CLUMP, F.col("root")).alias("unit"))
+    units = clumps.where("unit is not null").select("unit", F.lit(0).alias("kind"), "rep")
+    units = units.unionByName(members.join(clumps.where("unit is null").select("rep"), "rep").select(F.col("key").alias("unit"), F.lit(1).alias("kind"), "rep").distinct())
+    named = units.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep").select("unit", "kind", "rep", "n", F.coalesce("root", "rep").alias("class"))
+    named = work.keep(named, "named")
+    of_class = named.groupBy("unit", "kind", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    of_unit = of_class.groupBy("unit", "kind").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), F.sum("n").alias("all_n"), F.max(F.struct("c", -F.col("class"), "n"))["n"].alias("main_n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    of_unit = of_unit.select("unit", "kind", "main", blocks(F.col("all_n") - F.col("main_n")).alias("open_blocks"), blocks(F.col("all_n")).alias("blocks"))
+    placed = named.join(of_unit, ["unit", "kind"])
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    others = placed.select("unit", "kind", F.explode(span(F.col("open_blocks"))).alias("i"), own(F.col("blocks")).alias("j"), F.lit(False).alias("is_open"), "rep", "class")
+    open_ = placed.where("class <> main").select("unit", "kind", own(F.col("open_blocks")).alias("i"), F.explode(span(F.col("blocks"))).alias("j"), F.lit(True).alias("is_open"), "rep", "class")
+    cells = open_.unionByName(others).join(texts.withColumnRenamed("doc", "rep"), "rep").select("unit", "kind", "i", "j", "is_open", "rep", "class", "words")
+    dealt = cells.repartition(spread(spark), "unit", "kind", "i", "j").sortWithinPartitions("unit", "kind", "i", "j", F.desc("is_open"))
+    more = work.keep(dealt.mapInArrow(grid_links(percent), "a long, b long"), "links")
+    if more.head(1):
+        classes = work.keep(components(links.unionByName(more), work), "classes")
     work.drop(texts)
     by_set = reps.select("d1", "d2", "rep").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    return sketch.join(by_set, ["d1", "d2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc")).alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = sketch.join(by_set, ["d1", "d2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc"))).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
