@@ -209,18 +209,21 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     stems, above = join("stems"), join("above")
     below = np.zeros(n)  # article-like tokens below a container
     below = (lambda c: c[end] - c[idx] - (stems & GOOD != 0))(np.concatenate([[0], np.cumsum(stems & GOOD != 0)]))
-    x = np.concatenate([dense, log(below)[:, None].astype(np.float32), bits(tags, len(TAGS)), bits(join("above_tags"), len(TAGS)), bits(stems, len(STEMS)), bits(above, len(STEMS)), bits(near(tags, prev), len(TAGS))[:, :7]], axis=1)
+    above_tags = join("above_tags")
+    roles = np.column_stack([np.bitwise_count(m).astype(np.float32) for m in (stems & GOOD, stems & ~GOOD, above & GOOD, above & ~GOOD, above_tags & ASIDE, tags & ASIDE)])
+    x = np.concatenate([dense, log(below)[:, None].astype(np.float32), roles, bits(tags, len(TAGS)), bits(above_tags, len(TAGS)), bits(stems, len(STEMS)), bits(above, len(STEMS)), bits(near(tags, prev), len(TAGS))[:, :7]], axis=1)
     # Inline elements that say nothing of their role go with what they stand in.
     return x, (chars > 0) & ((blocks > 0) | (stems != 0))
 
 
 GOOD = sum(1 << STEMS.index(s) for s in ("article", "post", "entry", "story", "content", "text", "main"))
+ASIDE = sum(TAG_BIT[t] for t in ("nav", "header", "footer", "aside", "form", "dialog", "ins"))
 
 
 class Boosted:
     """Gradient-boosted regression trees on the logistic loss, over binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 5, rate: float = 0.15, bins: int = 24, penalty: float = 2.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 5, rate: float = 0.25, bins: int = 24, penalty: float = 2.0):
         n, m = x.shape
         self.depth = depth
         flags = np.array([set(np.unique(x[:, j])) <= {0.0, 1.0} for j in range(m)])
@@ -278,7 +281,7 @@ class Boosted:
         return out
 
 
-TRAINING_PAGES, TRAINING_SEED = 2000, 3
+TRAINING_PAGES, TRAINING_SEED = 1200, 3
 _models: dict[tuple[int, int], Boosted] = {}
 
 
