@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
 from .html_extract import extract_main_text
 from .licenses import COPYRIGHT_LINE, KNOWN_NOTICES, KNOWN_TEXTS, PUNCTUATION, SPELLINGS, scan_licenses
@@ -27,6 +28,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = classify(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"))))
@@ -67,6 +72,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann_projections": op1,
         "op2_quality_classifier": op2,
         "op3_mixing_sources": op3,
         "op4_license_scan": op4,
