@@ -17,7 +17,7 @@ that alone passes a limit and may not be cut gets a sequence of its own, marked
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -30,17 +30,21 @@ from pyspark.sql import functions as F
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 #: Examples that a task chooses among.
 WINDOW = 512
-REMEMBERED = 300_000
-#: Characters below this have a lower case of one character each, whatever stands beside them.
-PLAIN = "İ"
+REMEMBERED = 500_000
+#: Texts of these characters alone (ASCII and precomposed Latin letters that have a lower
+#: case of one character each) are lower-cased and parted here, as the tokenizer would.
+OTHERS = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-įĲ-ňŊ-ſ]")
+LATIN = "a-zß-öø-įĲ-ňŊ-ſ"
+PARTS = re.compile("[^ \\t\\n\\r\\x0b\\x0c]+")
+ATOMS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+")
 
 
 class Encoder:
     """A tokenizer with a bounded memory for words.
 
-    For vocabularies that drop white space, a text's ids are those of its white-space
-    separated parts in order. A part that is letters and then other marks is looked up as
-    the lower-cased letters and the marks; any other part is encoded as it stands.
+    For vocabularies of lower-case words that drop white space, a text's ids are those of
+    its words in order. Texts in other scripts are parted at white space only, and their
+    parts encoded as they stand, as are texts that may hold a special token.
     """
 
     def __init__(self, path: str):
@@ -48,37 +52,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
-
-    @staticmethod
-    def atoms_of(part: str) -> tuple[str, ...]:
-        core = part.rstrip("!\"#$%&()*+,-./:;=?@[]^_`{|}~")
-        if core.isalpha() and max(core) < PLAIN and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-            return (core.lower(), part[len(core) :]) if len(core) < len(part) else (core.lower(),)
-        return (part,)
-
-    def fill(self, unknown: list[str]) -> dict[str, bytes]:
-        cut = {p: self.atoms_of(p) for p in unknown}
-        missing = list({a for atoms in cut.values() for a in atoms if a not in self.atoms})
-        fresh = {a: np.array(e.ids, "<u4").tobytes() for a, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))}
-        found = {p: b"".join([fresh[a] if a in fresh else self.atoms[a] for a in atoms]) for p, atoms in cut.items()}
-        if len(self.atoms) + len(fresh) > REMEMBERED:
-            self.atoms.clear()
-        self.atoms.update(fresh)
-        return found
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        split = [t.split() if t else [] for t in texts]
-        known = self.parts
-        unknown = {p for parts in split for p in parts if p not in known}
-        if unknown:
-            if len(known) + len(unknown) > REMEMBERED:
-                known.clear()
-                unknown = {p for parts in split for p in parts}
-            known.update(self.fill(list(unknown)))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in split]
+        words = [[] if not t else PARTS.findall(t) if OTHERS.search(t) or "<|" in t else ATOMS.findall(t.lower()) for t in texts]
+        known = self.known
+        missing = list({w for own in words for w in own if w not in known})
+        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))} if missing else {}
+        if len(known) + len(fresh) <= REMEMBERED:  # the first words seen are the frequent ones
+            known.update(fresh)
+            fresh = {}
+        if not fresh:
+            return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in words]
+        return [np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in own]), "<u4") for own in words]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -133,51 +119,47 @@ class Packer:
     def fill(self, down_to: int):
         """Closes sequences until at most ``down_to`` examples are left (0: all)."""
         while len(self.items) > down_to:
-            size = np.array([(x.tokens, 1, x.loss) for x in self.items], float)
-            free = np.ones(len(size), bool)
-            scaled = size / self.limits
-            left, chosen = self.limits.copy(), []
-            while True:
-                fits = free & (size <= left).all(axis=1)
-                if not fits.any():
-                    break
-                score = np.where(fits, scaled @ (left / self.limits), -1.0)
-                best = int(score.argmax())
-                free[best] = False
-                left -= size[best]
-                chosen.append(self.items[best])
-            rest = [x for x, f in zip(self.items, free) if f]
-            # The head of another example fills what is left.
-            room = int(left[0])
-            if self.cutting and room and left[1] >= 1 and rest:
-                k = max(range(len(rest)), key=lambda i: rest[i].tokens - rest[i].loss)
-                if rest[k].tokens > room:
-                    head, tail = rest[k].cut(room)
-                    if head.loss <= left[2]:
-                        chosen.append(head)
-                        rest[k] = tail
-            self.items = rest
-            yield from self.closed(chosen, last=not rest)
-
-    def closed(self, chosen: list[Item], last: bool):
-        """A sequence as it is if it is full or may not be cut; else powers of two."""
-        while self.cutting and (total := sum(x.tokens for x in chosen)) and total & (total - 1) and total < self.limits[0]:
-            most, own, held = 1 << (total.bit_length() - 1), [], 0
-            for i, x in enumerate(chosen):
-                if held + x.tokens <= most:
-                    own.append(x)
-                    held += x.tokens
-                    if held == most:
-                        chosen = chosen[i + 1 :]
+            items, size = self.items, np.array([(x.tokens, 1, x.loss) for x in self.items], float)
+            scaled, free, back = size / self.limits, np.ones(len(size), bool), []
+            while not back and free.sum() > down_to:
+                left, chosen = self.limits.copy(), []
+                while True:
+                    fits = free & (size <= left).all(axis=1)
+                    if not fits.any():
                         break
-                else:
-                    head, tail = x.cut(most - held)
-                    own.append(head)
-                    chosen = [tail, *chosen[i + 1 :]]
-                    break
+                    best = int(np.where(fits, scaled @ (left / self.limits), -1.0).argmax())
+                    free[best] = False
+                    left -= size[best]
+                    chosen.append(items[best])
+                # The head of another example fills what is left.
+                room = int(left[0])
+                if self.cutting and room and left[1] >= 1 and free.any():
+                    k = int(np.where(free, size[:, 0] - size[:, 2], -1.0).argmax())
+                    if items[k].tokens > room:
+                        head, tail = items[k].cut(room)
+                        if head.loss <= left[2]:
+                            chosen.append(head)
+                            items[k], size[k] = tail, (tail.tokens, 1, tail.loss)
+                            scaled[k] = size[k] / self.limits
+                for sequence in self.closed(chosen, not free.any(), back):
+                    yield sequence
+            self.items = back + [x for x, f in zip(items, free) if f]
+
+    def closed(self, chosen: list[Item], last: bool, back: list[Item]):
+        """A sequence as it is if it is full or may not be cut; else powers of two, or one
+        power of two whose rest goes back to the others."""
+        while self.cutting and (total := sum(x.tokens for x in chosen)) and total & (total - 1) and total < self.limits[0]:
+            most, own = 1 << (total.bit_length() - 1), []
+            while most:
+                x = chosen.pop(0)
+                if x.tokens > most:
+                    x, tail = x.cut(most)
+                    chosen.insert(0, tail)
+                own.append(x)
+                most -= x.tokens
             yield own
-            if not last:  # what was cut off goes on with the others
-                self.items = [*chosen, *self.items]
+            if not last:
+                back += chosen
                 return
         if chosen:
             yield chosen
