@@ -115,7 +115,8 @@ SPELLINGS = [
     ("https", "http"),
 ]
 PUNCTUATION = "[^a-z0-9\\n\\x{80}-\\x{10FFFF}]+"
-COPYRIGHT_LINE = "^ ?(copyright( c| ©)?( |$)|c copyright|©|c [0-9]{4}|all rights reserved ?$)"
+#: A year, a sign or a name must follow: wrapped licence texts have lines that begin with the word.
+COPYRIGHT_LINE = "^(copyright (c|©|by|[0-9]{4})( |$)|c copyright|©|c [0-9]{4}|all rights reserved$)"
 
 
 def canonical_lines(text):

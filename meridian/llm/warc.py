@@ -36,6 +36,8 @@ SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
 FEED_BYTES = 1 << 14
 #: Decoded bytes in which a member's WARC header must end.
 HEADER_BYTES = 1 << 16
+#: Copies of a revisited response that its revisits are dealt to.
+LOTS = 64
 FIXED_DATE = "2024-01-01T00:00:00Z"
 
 
@@ -43,8 +45,11 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def normal_uri(uri: str) -> str:
-    """file:/x as file:///x, which Arrow wants."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, which is the cluster's default one where it has none."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
@@ -222,14 +227,19 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     A revisit's payload is that of the response that it refers to, found by a join.
     """
     spark = pages.sparkSession
-    folder = normal_uri(Work(spark, "warc").path("archives"))
+    work = Work(spark, "warc")
+    folder = qualified(spark, work.path("archives"))
     paths = write_archives(pages, folder, id_col=id_col, url_col=url_col, payload_col=payload_col, least_bytes=least_bytes)
     number = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit("^<urn:x-page:(-?[0-9]+)>$")), F.lit(1)).cast("long")
     read = read_archives(spark, paths, split_bytes=split_bytes)
     facts = read.select(number(F.col("record_id")).alias("page_id"), "url", "record_type", number(F.col("refers_to")).alias("refers_to"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    facts = Work(spark, "warc").keep(facts, "facts")
+    facts = work.keep(facts, "facts")
     # Only responses large enough to be revisited can be meant; one for each id.
-    owners = facts.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes)).groupBy(F.col("page_id").alias("owner")).agg(F.max("payload_bytes").alias("own_bytes"), F.max("payload_digest").alias("own_digest"))
-    out = facts.join(owners, F.col("refers_to") == F.col("owner"), "left")
+    revisited = facts.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct()
+    owners = facts.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes)).join(revisited, "page_id", "left_semi")
+    # A payload that a third of all pages repeat is one key: its revisits are dealt to LOTS copies of it.
+    owners = owners.groupBy(F.col("page_id").alias("owner")).agg(F.max("payload_bytes").alias("own_bytes"), F.max("payload_digest").alias("own_digest")).withColumn("own_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    lots = facts.withColumn("lot", F.pmod(F.xxhash64("page_id", "url"), F.lit(LOTS)).cast("int"))
+    out = lots.join(owners, (F.col("refers_to") == F.col("owner")) & (F.col("lot") == F.col("own_lot")), "left")
     revisit = F.col("record_type") == "revisit"
     return out.select("page_id", "url", F.when(revisit, F.col("own_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("own_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
