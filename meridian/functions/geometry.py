@@ -265,3 +265,9 @@ def point_to_polygon_distance(polygons: list[list[np.ndarray]], x: float, y: flo
         best = min(best, float(((p - a - t * d) ** 2).sum(axis=1).min()))
     inside = bool(multipolygon_contains(polygons, np.array([x]), np.array([y]))[0])
     return math.sqrt(best) * (1 if inside else -1)
+
+
+def centroid_cell(polygon: list[np.ndarray]) -> tuple[float, float, float]:
+    """(x, y, distance): a polygon's centroid with its signed distance to the edge."""
+    x, y = ring_centroid(polygon[0]) if polygon else (0.0, 0.0)
+    return x, y, point_to_polygon_distance([polygon], x, y) if polygon else -math.inf

@@ -102,3 +102,9 @@ def distinct_ids(rows: DataFrame, key: str, order: str | None = None) -> DataFra
 
 def duplicate_count(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"), F.sum(F.col("n") - 1).alias("duplicates"))
+
+
+def distinct_points(points: DataFrame, ids: tuple[str, ...] = ("point_id", "visit_ord")) -> DataFrame:
+    """Points that differ in more than their ids, each with its smallest ids."""
+    rest = [c for c in points.columns if c not in ids]
+    return points.groupBy(*rest).agg(*[F.min(c).alias(c) for c in ids if c in points.columns]).select(points.columns)

@@ -93,3 +93,21 @@ def test_report(spark):
     from meridian.plans.queries import _samples
     lines = [r.line for r in report_lines(_samples(spark, "/root/testdata/sf0.001")).orderBy("ord").collect()]
     assert lines[0].startswith("Start: ") and len(lines) == 109
+
+
+def test_sampler_and_observation(spark):
+    from meridian.operators.sampler import Sampler, observed, partitions_for
+    sampler = Sampler(spark, 0.05).start()
+    rows, seen = observed(spark.range(100), "r", total=F.sum("id"))
+    rows.write.format("noop").mode("overwrite").save()
+    samples = sampler.stop()
+    assert samples.count() >= 2 and samples.agg(F.min("heap_alloc")).first()[0] > 0
+    assert seen.get == {"rows": 100, "total": 4950}
+    assert [partitions_for(n, 1000, 8) for n in (10, 5000, 10**6)] == [2, 4, 4] and partitions_for(5, 1, 1) == 1
+    with pytest.raises(ValueError):
+        partitions_for(1, 0, 8)
+
+
+def test_distinct_points(spark):
+    rows = spark.createDataFrame([(1, 0.0, "a"), (2, 0.0, "a"), (3, 0.0, "b")], "point_id long, x double, name string")
+    assert sorted(map(tuple, rangeset.distinct_points(rows).collect())) == [(1, 0.0, "a"), (3, 0.0, "b")]
