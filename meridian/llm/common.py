@@ -118,13 +118,15 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Minima of nodes that have a smaller neighbour; written, so that a hub's links can be
+        # split among tasks when they meet their minimum.
+        least = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).where("m < node"), "minima")
+        large = edges.join(least, F.col("b") == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).alias("e")).select("e.*").where("a <> b").distinct()
         new = work.keep(small, "links")
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
-        work.drop(edges)
+        work.drop(edges, least)
         edges = new
         if seen == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rest = docs.drop(*(set(added.names) - {id_col, text_col}))
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     chars = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = spread(spark)
+    # About 32 MB of text, and so 48 MB of hashes, for each task that counts.
+    parts = max(spread(spark), chars // 32_000_000)
     buckets = max(4 * parts, chars // 6 // words_a_bucket + 1)
     runs = read.mapInArrow(windows(width, buckets), "bucket int, hashes binary, docs binary, starts binary, lengths binary")
     # Cuts settled within a batch are dealt out by what they hold, buckets by their number.
