@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ADDRESS_FIELDS, COUNTRY, DEFAULT_RADIUS, REGION, RESULT, RESULT_FIELDS, checked_radius
 from .spatial import FOLD, search
-from .zones import SENT_VERTICES, TOLERANCE, load_zones, split_zones, zone_of
+from .zones import SENT_VERTICES, TOLERANCE, load_zones, zones_of
 
 
 def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radius: float = DEFAULT_RADIUS, *, keys: list[str] = ("req_id",), mode: str = FOLD, sent_vertices: int = SENT_VERTICES) -> DataFrame:
@@ -22,8 +22,7 @@ def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radi
     best = search(probes, points, radius, keys, mode)
     # Payloads meet the few picked rows only, by id.
     named = best.select(*keys, "point_id").join(points.select("point_id", *ADDRESS_FIELDS, "weight"), "point_id")
-    placed = zone_of(probes.select(*keys, "lon", "lat"), split_zones(zones, REGION), "zone_region", sent_vertices=sent_vertices)
-    placed = zone_of(placed, split_zones(zones, COUNTRY), "zone_country", sent_vertices=sent_vertices)
+    placed = zones_of(probes.select(*keys, "lon", "lat"), zones, {"zone_region": REGION, "zone_country": COUNTRY}, sent_vertices=sent_vertices)
     out = placed.join(named, keys, "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     region = F.coalesce(some("region"), some("zone_region"), F.lit(""))

@@ -92,21 +92,33 @@ def zone_of(points: DataFrame, zones: DataFrame, name: str, *, x: str = "lon", y
 
     ``zones`` are loaded zones of one type. Null or NaN coordinates have no zone.
     """
-    if vertex_count(zones) <= sent_vertices:
-        index = Index(zones.collect())  # bounded by the count above
+    return zones_of(points, zones, {name: None}, x=x, y=y, sent_vertices=sent_vertices)
 
-        def run(batches):
-            for batch in batches:
-                xs, ys = (batch.column(batch.schema.names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y))
+
+def zones_of(points: DataFrame, zones: DataFrame, types: dict[str, int | None], *, x: str = "lon", y: str = "lat", sent_vertices: int = SENT_VERTICES) -> DataFrame:
+    """As ``zone_of`` for several types of zones at once (None: all), a column for each."""
+    points = points.drop(*types)
+    of_type = lambda t: zones if t is None else split_zones(zones, t)
+    if vertex_count(zones) > sent_vertices:
+        for name, t in types.items():
+            points = _by_cells(points, of_type(t), name, x, y)
+        return points
+    rows = zones.collect()  # bounded by the count above
+    indexes = [Index([r for r in rows if t is None or r["zone_type"] == t]) for t in types.values()]
+    names = [*points.columns, *types]
+
+    def run(batches):
+        for batch in batches:
+            xs, ys = (batch.column(batch.schema.names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y))
+            ok, added = np.flatnonzero(np.isfinite(xs) & np.isfinite(ys)), []
+            for index in indexes:
                 found = np.full(len(xs), -1)
-                ok = np.flatnonzero(np.isfinite(xs) & np.isfinite(ys))
                 found[ok] = index.first(xs[ok], ys[ok])
-                names = pa.array([index.names[k] if k >= 0 else None for k in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, name])
+                words = pa.array([*index.names, None], pa.string())
+                added.append(words.take(pa.array(np.where(found >= 0, found, len(index.names)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
 
-        points = points.drop(name)
-        return points.mapInArrow(run, f"{_ddl(points)}, `{name}` string")
-    return _by_cells(points.drop(name), zones, name, x, y)
+    return points.mapInArrow(run, ", ".join([_ddl(points), *(f"`{n}` string" for n in types)]))
 
 
 def _ddl(df: DataFrame) -> str:

@@ -12,7 +12,7 @@ from ..operators import compare, dictionary, geocode, metrics, rangeset, spatial
 from ..operators.geocode import reverse_geocode
 from ..operators.osm import BUILDING, INDUSTRIAL, PROTECTED, ROAD, border_kind, relation_kind, way_kind
 from ..operators.rings import way_lines
-from ..operators.zones import split_zones, zone_of
+from ..operators.zones import split_zones, zone_of, zones_of
 from ..schema import COUNTRY, REGION
 from .derived import HOLE, OUTER, RADIUS, SQL, points, probes, table, zones
 
@@ -75,9 +75,8 @@ def early_stop(spark, sf_dir):
 
 @query(SQL + "SELECT req_id, zone_region, zone_country FROM named")
 def zone_lookup(spark, sf_dir):
-    areas = zones(spark, sf_dir)
-    rows = zone_of(probes(spark, sf_dir).select("req_id", "lon", "lat"), split_zones(areas, REGION), "zone_region")
-    return zone_of(rows, split_zones(areas, COUNTRY), "zone_country").select("req_id", "zone_region", "zone_country")
+    rows = probes(spark, sf_dir).select("req_id", "lon", "lat")
+    return zones_of(rows, zones(spark, sf_dir), {"zone_region": REGION, "zone_country": COUNTRY}).select("req_id", "zone_region", "zone_country")
 
 
 @query(SQL + "SELECT req_id, zone_country FROM named")
