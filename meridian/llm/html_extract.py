@@ -49,9 +49,9 @@ TOKEN = re.compile(
 ATTRS = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-#: Beginnings of attribute tokens that are features; at most 60.
-STEMS = "nav menu breadcrumb head mast brand foot copyright legal colophon side widget rail relat recommend ad ads advert adsby sponsor promo banner cookie consent gdpr privacy notice notif alert popup modal overlay newsletter subscri paywall disclaim message dialog search login signup contact form comment repl respon discuss disqus user share social article post entry story content body text main".split()
-EXACT = {"ad", "ads", "head", "foot", "nav", "side", "text", "body", "form", "post", "main"}
+#: Beginnings of attribute tokens that are features; at most 62.
+STEMS = "nav menu breadcrumb head mast brand foot copyright legal colophon side widget rail relat recommend ad ads advert adsby sponsor promo banner cookie consent gdpr privacy noti alert popup modal overlay newsletter subscri paywall message dialog search login signup contact form comment repl respon disc disq user share social article post entry story content body text main top topbar bar bottom".split()
+EXACT = {"ad", "ads", "head", "foot", "nav", "side", "text", "body", "form", "post", "main", "top", "bar"}
 TAGS = "p h1 h2 h3 h4 li ul ol div section article main nav header footer aside form table td a span b blockquote pre figure figcaption label dialog body ins dl".split()
 TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
 _masks: dict[str, int] = {}

@@ -63,7 +63,7 @@ class Pages:
     def menu(self) -> str:
         if self.r.random() < 0.6:
             return f"<nav{self.attrs('nav menu main-nav navbar topnav', 0.3)}>{self.links(2, 9)}</nav>"
-        return f"<div{self.attrs('nav menu navigation navbar main-menu topbar breadcrumb breadcrumbs site-nav', 0.95)}>{self.links(2, 9)}</div>"
+        return f"<div{self.attrs('nav menu navigation navbar main-menu topbar breadcrumb breadcrumbs site-nav top-bar toolbar', 0.97)}>{self.links(2, 9)}</div>"
 
     def header(self) -> str:
         inner = f"<{(t := self.r.choice(('div', 'p', 'h1', 'h2', 'span')))}>{self.m(' '.join(self.words(1, 4)))}</{t}>"
@@ -75,14 +75,14 @@ class Pages:
             inner += self.form()
         if self.r.random() < 0.6:
             return f"<header{self.attrs('header site-header page-header', 0.3)}>{inner}</header>"
-        return f"<div{self.attrs('header masthead site-header banner top page-header branding', 1)}>{inner}</div>"
+        return f"<div{self.attrs('header masthead site-header banner top page-header branding top-bar logo', 1)}>{inner}</div>"
 
     def footer(self) -> str:
         inner = self.r.choice(("&copy; ", "Copyright ", "© ", "")) + str(self.r.randint(1999, 2025)) + " " + self.prose(1, 2)
         inner = self.r.choice((self.m(inner), f"<p>{self.m(inner)}</p>", f"<div><p>{self.m(inner)}</p>{self.links(1, 6)}</div>"))
         if self.r.random() < 0.6:
             return f"<footer{self.attrs('footer site-footer', 0.3)}>{inner}</footer>"
-        return f"<div{self.attrs('footer site-footer foot bottom colophon copyright legal page-footer', 1)}>{inner}</div>"
+        return f"<div{self.attrs('footer site-footer foot bottom bottom-bar colophon copyright legal page-footer', 1)}>{inner}</div>"
 
     def sidebar(self) -> str:
         parts = []
@@ -132,8 +132,11 @@ class Pages:
             words = text.split(" ")
             i = self.r.randrange(len(words))
             tag = self.r.choice(("b", "i", "em", "strong", "a href='/y'", "code", "span", "mark", "u", "sup"))
-            words[i] = f"<{tag}>{words[i]}</{tag.split()[0]}>"
+            last = i + 1 if self.r.random() < 0.7 else self.r.randint(i + 1, len(words))
+            words[i:last] = [f"<{tag}>{' '.join(words[i:last])}</{tag.split()[0]}>"]
             text = " ".join(words)
+        elif k < 0.46:  # a line that is mostly a link
+            text = f"{' '.join(self.words(0, 3))} <a href='/y'>{' '.join(self.words(1, 6))}</a>{self.r.choice(('', '.'))}"
         return text
 
     def paragraph(self) -> str:
@@ -173,13 +176,13 @@ class Pages:
             return f"<article>{head}<div{self.attrs('content body text article-body entry-content post-content', 0.9)}>{''.join(blocks)}</div></article>"
         inner = head + "".join(blocks)
         k = self.r.random()
-        if k < 0.5:
+        if k < 0.45:
             return f"<article{self.attrs('post article entry story hentry', 0.3)}>{inner}</article>"
-        if k < 0.62:
+        if k < 0.56:
             return f"<main{self.attrs('main content', 0.3)}>{inner}</main>"
-        if k < 0.92:
+        if k < 0.84:
             return f"<div{self.attrs('article post content entry-content post-content article-body story main story-body text body-text post-body page-content maincontent', 0.92)}>{inner}</div>"
-        if k < 0.96:
+        if k < 0.87:
             return f"<table><tr><td>{self.links(2, 6)}</td><td>{inner}</td></tr></table>"
         return inner
 
@@ -189,7 +192,9 @@ class Pages:
         if self.r.random() < 0.3:
             self.r.shuffle(top)
         after = [p() for p, odds in ((self.share, 0.15), (self.comments, 0.35), (self.sidebar, 0.35), (self.advert, 0.2), (self.form, 0.15), (self.footer, 0.7), (self.notice, 0.15)) if self.r.random() < odds]
-        before = [self.sidebar()] if self.r.random() < 0.12 else []
+        if self.r.random() < 0.12:  # nothing but an article
+            top, after = [], []
+        before = [self.sidebar()] if top and self.r.random() < 0.12 else []
         middle = "".join(before) + self.article()
         rest = "".join(after)
         for _ in range(self.r.choice((0, 0, 1, 1, 2))):
