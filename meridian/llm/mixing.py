@@ -91,6 +91,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         state.kept_at = step.kept_at
         if not step.where("not done").head(1):
             break
+    work.drop(classes)
     rate = F.when(F.col("free"), F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))))).otherwise(F.when(F.col("source_size") > 0, F.lit(float(cap))).otherwise(F.lit(1.0)))
     rated = sized.join(state.withColumnRenamed("source", "s2").drop("weight"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2").withColumn("rate", rate)
     unit = F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)

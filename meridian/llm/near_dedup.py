@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = work.keep(components(links, work), "classes")
 
     # A clump is what candidates alone connect; a very large one falls into its buckets.
-    clumps = work.keep(components(pairs, work), "clumps").withColumnRenamed("node", "rep")
+    candidates = work.keep(components(pairs, work), "clumps")
+    clumps = candidates.withColumnRenamed("node", "rep")
     sizes = clumps.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     clumps = clumps.join(sizes, "root").select("rep", F.when(F.col("c") <= CLUMP, F.col("root")).alias("unit"))
     units = clumps.where("unit is not null").select("unit", F.lit(0).alias("kind"), "rep")
@@ -220,6 +221,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_unit = of_class.groupBy("unit", "kind").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), F.sum("n").alias("all_n"), F.max(F.struct("c", -F.col("class"), "n"))["n"].alias("main_n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
     of_unit = of_unit.select("unit", "kind", "main", blocks(F.col("all_n") - F.col("main_n")).alias("open_blocks"), blocks(F.col("all_n")).alias("blocks"))
+    # Written, so that a clump with a third of all documents can be split when it meets its row.
+    of_unit = work.keep(of_unit, "units")
     placed = named.join(of_unit, ["unit", "kind"])
     span = lambda n: F.sequence(F.lit(0), n - 1)
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
@@ -230,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = work.keep(dealt.mapInArrow(grid_links(percent), "a long, b long"), "links")
     if more.head(1):
         classes = work.keep(components(links.unionByName(more), work), "classes")
-    work.drop(texts)
+    work.drop(texts, members, pairs, links, more, candidates, named, of_unit)
     by_set = reps.select("d1", "d2", "rep").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = sketch.join(by_set, ["d1", "d2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
