@@ -232,7 +232,7 @@ class Boosted:
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in wide]
         binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in zip(wide, cuts)]).astype(np.int64)
         shift = binned + np.arange(len(wide)) * bins
-        zero = 1.0 - x[:, own]  # a flag's left side
+        at_row, at_flag = np.nonzero(x[:, own])  # few flags of a node are set
         self.bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         logit = np.full(n, self.bias)
         nodes = (1 << depth) - 1
@@ -246,15 +246,13 @@ class Boosted:
             for level in range(depth):
                 width = 1 << level
                 flat = (at[:, None] * (len(wide) * bins) + shift).ravel()
-                # Sums left of each cut: by bins for wide features, by a product for flags.
+                # Sums left of each cut; for a flag all rows of the node without those that have it.
                 gl = np.bincount(flat, gw, width * len(wide) * bins).reshape(width, len(wide), bins).cumsum(axis=2)
                 hl = np.bincount(flat, hw, width * len(wide) * bins).reshape(width, len(wide), bins).cumsum(axis=2)
-                member = np.zeros((2 * width, n), np.float32)
-                member[at, rows], member[width + at, rows] = g, h
-                both = (member @ zero).astype(float)
                 gt, ht = np.bincount(at, g, width)[:, None], np.bincount(at, h, width)[:, None]
-                gl = np.concatenate([gl.reshape(width, -1), both[:width]], axis=1)
-                hl = np.concatenate([hl.reshape(width, -1), both[width:]], axis=1)
+                place = at[at_row] * len(own) + at_flag
+                gl = np.concatenate([gl.reshape(width, -1), gt - np.bincount(place, g[at_row], width * len(own)).reshape(width, -1)], axis=1)
+                hl = np.concatenate([hl.reshape(width, -1), ht - np.bincount(place, h[at_row], width * len(own)).reshape(width, -1)], axis=1)
                 gain = gl**2 / (hl + penalty) + (gt - gl) ** 2 / (np.maximum(ht - hl, 0) + penalty) - gt**2 / (ht + penalty)
                 gain[(hl < 1) | (ht - hl < 1)] = 0
                 best, first = gain.argmax(axis=1), width - 1
