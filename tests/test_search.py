@@ -95,7 +95,7 @@ def test_two_squares(spark):
 def test_first_zone_wins_and_both_plans_agree(spark):
     zones = square(spark, [(5, 1, "late", 0, 0, 3, 3), (2, 1, "early", 1, 1, 4, 4), (9, 1, "far", 20, 20, 21, 21)])
     rng = np.random.default_rng(3)
-    probes = probe_frame(spark, [(i, y, x) for i, (x, y) in enumerate(rng.uniform(-1, 5, (200, 2)).tolist())] + [(900, 1.0, 1.0), (901, None or 3.0, 3.0)])
+    probes = probe_frame(spark, [(i, y, x) for i, (x, y) in enumerate(rng.uniform(-1, 5, (200, 2)).tolist())] + [(900, 1.0, 1.0), (901, 3.0, 3.0)])
     sent = sorted((r.req_id, r.zone or "") for r in zone_of(probes, zones, "zone").collect())
     joined = sorted((r.req_id, r.zone or "") for r in zone_of(probes, zones, "zone", sent_vertices=0).collect())
     assert sent == joined
