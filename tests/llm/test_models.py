@@ -54,13 +54,11 @@ def test_other_columns_are_no_inputs(spark):
 
 
 def test_word_table_counts_all_texts():
-    import pyarrow as pa
     texts = [prose(30, 1), None, "", "A a a!! 12"]
     known = qc.TokenRows()
     flat, counts = qc.token_rows(texts, known)
     assert counts.tolist()[1:3] == [0, 0] and counts.sum() == len(flat)
     assert flat[-6:].tolist()[0:2] == [qc.TokenRows.row("a"), qc.TITLE]
-    del pa
 
 
 def test_network_is_calibrated():
