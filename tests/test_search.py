@@ -209,3 +209,38 @@ def test_plans(spark, sf_dir):
     pts.write.mode("overwrite").parquet("/tmp/meridian-plan-test")
     text = plan(spatial.in_box(spark.read.parquet("/tmp/meridian-plan-test"), 0, 0, 1, 1).select("point_id"))
     assert "GreaterThanOrEqual(x" in text and "ReadSchema: struct<point_id:bigint,x:double,y:double>" in text
+
+
+def test_fold_equals_the_sequential_rule(spark):
+    """300 random sequences with many ties, against going through them one by one."""
+    import random
+    r, rows, want = random.Random(1), [], {}
+    for key in range(300):
+        best = None
+        for visit in range(r.randint(1, 12)):
+            d2, weight = r.randint(0, 6) / 4, r.randint(0, 4)
+            rows.append((key, visit, d2, weight, 1000 * key + visit))
+            if best is None or d2 < best[0] or weight > best[1]:
+                best = (d2, weight, 1000 * key + visit)
+        want[key] = best
+    df = spark.createDataFrame(rows, "req_id long, visit_ord long, d2 double, weight short, point_id long").repartition(5)
+    got = {x.req_id: (x.d2, x.weight, x.point_id) for x in spatial.pick(df, ["req_id"], spatial.FOLD).collect()}
+    assert got == want
+
+
+def test_zone_plans_agree_on_polygons(spark):
+    """Star-shaped zones with many vertices, sent to tasks or met on cells."""
+    angles = np.linspace(0, 2 * math.pi, 61)[:-1]
+    rows = []
+    for k in range(6):
+        radius = 1.5 + 0.7 * np.cos(5 * angles + k)
+        ring = [{"x": float(2.2 * k + a), "y": float(b)} for a, b in zip(radius * np.cos(angles), radius * np.sin(angles))]
+        rows.append((k, 1 + k % 2, f"z{k}", [[ring]]))
+    zones = load_zones(spark.createDataFrame(rows, "zone_id long, zone_type tinyint, name string, polygon array<array<array<struct<x:double,y:double>>>>"), 0)
+    rng = np.random.default_rng(8)
+    probes = probe_frame(spark, [(i, y, x) for i, (x, y) in enumerate(rng.uniform((-3, -3), (14, 3), (2000, 2)).tolist())])
+    types = {"a": 1, "b": 2, "any": None}
+    from meridian.operators.zones import zones_of
+    sent = sorted(tuple(r) for r in zones_of(probes, zones, types).na.fill("").collect())
+    met = sorted(tuple(r) for r in zones_of(probes, zones, types, sent_vertices=0).na.fill("").collect())
+    assert sent == met and len({r[-1] for r in sent}) == 7
