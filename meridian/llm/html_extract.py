@@ -9,7 +9,8 @@ ancestor. What is kept becomes blocks, in page order.
 
 Defined results: a null or empty html, and a page without kept text, have the text "" and
 n_chars 0; repeated rows are extracted row by row; unclosed and stray tags, truncated
-pages and broken references do not fail; null ids and urls keep their rows.
+pages and broken references do not fail; a head without its end tag ends where something
+begins that cannot stand in it; null ids and urls keep their rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .html_pages import MARK, labelled_pages
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template iframe head title textarea select option button svg canvas audio video object math datalist".split())
+#: What can stand in a head; anything else that opens, and any text, ends an open one.
+HEAD = frozenset("base head html link meta noscript script style template title".split())
 #: An opening tag closes the nearest open one of these, up to one of the second set.
 CLOSES = {
     "p": ({"p"}, BLOCKS - {"p"}),
@@ -84,14 +87,18 @@ class Page:
         stack, at, block = [0], 0, 0
         hidden = 0  # depth of the stack at which unseen content began
         for m in TOKEN.finditer(source):
+            tag = (m["tag"] or m["tag2"] or m["raw"] or "").lower()
+            closing = m["end"] or m["end2"]
+            # An open head has nothing but the root above it and nothing open in it.
+            if self.tag[stack[-1]] == "head" and (source[at : m.start()].strip() or (tag in ("body", "html", "br") if closing else tag and tag not in HEAD)):
+                self.end[stack.pop()] = len(self.tag)
+                hidden = 0
             if m.start() > at and not hidden:
                 self.text(stack[-1], source[at : m.start()], block)
             at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if not tag:
+            if not tag or m["raw"]:
                 continue
-            tag = tag.lower()
-            if m["end"] or m["end2"]:
+            if closing:
                 if tag in BLOCKS:
                     block += 1
                 for k in range(len(stack) - 1, 0, -1):
@@ -112,8 +119,8 @@ class Page:
                 continue
             if tag in BLOCKS:
                 block += 1
-            if tag in VOID or tag == "html":
-                continue
+            if tag in VOID or tag == "html" or (tag == "head" and len(self.tag) > 1):
+                continue  # a head after other elements is a stray tag
             if tag in CLOSES or tag in BLOCKS:
                 own, until = CLOSES.get(tag, CLOSES["p"])
                 for k in range(len(stack) - 1, 0, -1):
@@ -141,6 +148,9 @@ class Page:
             stack.append(i)
             if tag in UNSEEN and not hidden:
                 hidden = len(stack)
+        if self.tag[stack[-1]] == "head" and source[at:].strip():
+            self.end[stack.pop()] = len(self.tag)
+            hidden = 0
         if at < len(source) and not hidden:
             self.text(stack[-1], source[at:], block)
         for i in stack:
