@@ -5,12 +5,16 @@ features: its tag and attribute tokens and its ancestors', depth, the size and d
 its subtree, its links, and its siblings. Boosted trees, trained here on made pages, give
 each node a probability of belonging to the article. Decoding then chooses the most
 likely consistent set: a dropped node drops all below it, so no descendant contradicts an
-ancestor. What is kept becomes blocks, in page order.
+ancestor. What is kept becomes blocks, in page order. Never judged but always dropped: comments, the
+head, scripts, styles, noscript, templates, frames, form controls' own text (textarea,
+select, option, datalist, button), svg, and what stands in canvas, audio and video for
+browsers without them. The text of math and the fallback of object are judged like others.
 
 Defined results: a null or empty html, and a page without kept text, have the text "" and
 n_chars 0; repeated rows are extracted row by row; unclosed and stray tags, truncated
 pages and broken references do not fail; a head without its end tag ends where something
-begins that cannot stand in it; null ids and urls keep their rows.
+begins that cannot stand in it, and an svg without one before the next element of HTML or
+an outer end tag; null ids and urls keep their rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from .html_pages import MARK, labelled_pages
 # Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template iframe head title textarea select option button svg canvas audio video object math datalist".split())
+UNSEEN = frozenset("script style noscript template iframe head title textarea select option button svg canvas audio video datalist".split())
 #: What can stand in a head; anything else that opens, and any text, ends an open one.
 HEAD = frozenset("base head html link meta noscript script style template title".split())
 #: An opening tag closes the nearest open one of these, up to one of the second set.
@@ -44,11 +48,19 @@ CLOSES = {
 }
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
+SVG_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*+(?<!/)>(?:(?!</?svg[\s/>]).)*?</(?P=raw)(?=[\s/>])[^>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)",
+    re.S | re.I,
+)
+#: Elements of HTML that end an svg in which they open, but not in one of the second set.
+LEAVES_SVG = BLOCKS | frozenset("b big br code em embed head i img nobr ruby s small span strong strike sub sup tt u var".split())
+HOLDS_HTML = frozenset("foreignobject desc title".split())
 ATTRS = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -76,6 +88,29 @@ def stem_mask(attrs: str) -> int:
     return mask
 
 
+def svg_end(source: str, at: int, outer: set[str]) -> int:
+    """Where the svg whose content begins at a place ends: after its end tag, or before the
+    first tag that shows that it was not closed (an element of HTML opens, an outer one ends)."""
+    inner = ["svg"]
+    for m in SVG_TOKEN.finditer(source, at):
+        tag = (m["tag"] or "").lower()
+        if not tag:
+            continue
+        if m["end"]:
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+                if not inner:
+                    return m.end()
+            elif tag in outer or tag in ("body", "html"):
+                return m.start()
+        elif tag in LEAVES_SVG and HOLDS_HTML.isdisjoint(inner):
+            return m.start()
+        elif tag not in VOID and not m["attrs"].endswith("/"):
+            inner.append(tag)
+    return len(source)
+
+
 class Page:
     """A parsed page: element arrays in page order, and texts with their element and block."""
 
@@ -86,7 +121,8 @@ class Page:
         self.texts: list[tuple[int, str, int]] = []
         stack, at, block = [0], 0, 0
         hidden = 0  # depth of the stack at which unseen content began
-        for m in TOKEN.finditer(source):
+        tokens = TOKEN.finditer(source)
+        while (m := next(tokens, None)) is not None:
             tag = (m["tag"] or m["tag2"] or m["raw"] or "").lower()
             closing = m["end"] or m["end2"]
             # An open head has nothing but the root above it and nothing open in it.
@@ -113,6 +149,11 @@ class Page:
                     if name in BLOCKS and tag not in BLOCKS:
                         break  # an inline end tag does not close a block
                 continue
+            if tag == "svg":
+                if not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+                    at = svg_end(source, at, {self.tag[i] for i in stack[1:]})
+                    tokens = TOKEN.finditer(source, at)
+                continue
             if tag == "br":
                 if not hidden:
                     self.text(stack[-1], " ", block)

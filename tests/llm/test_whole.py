@@ -28,3 +28,21 @@ def test_a_head_without_end_tag_hides_no_text(top):
 def test_text_ends_a_head():
     assert seen("<head><title>t</title>plain text") == "plain text" and seen("<head>one<p>two") == "one\n\ntwo"
     assert seen("<head> <title>t</title> <noscript>n</noscript> </head>") == ""
+
+
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<svg-icon></svg-icon>", "<title-bar></title-bar>", "<template-x></template-x>", "<style-guide/>", '<svg class="i"><path d="M0 0"/>', "<svg><title/><style/><path d=x>", "<svg><g><svg></svg><text>label</text></g></svg>", "<svg><style>a > b {}</style><title>icon</title></svg>", "<script>1</script >", "<svg><foreignObject><p>label</p></foreignObject></svg>"])
+def test_odd_raw_elements_hide_nothing_else(odd):
+    source = f"<body>{ARTICLE.replace('<p>Second', f'<p>{odd}</p><p>Second')}<svg></svg>"
+    assert seen(source) == ARTICLE_TEXT
+    assert he.extract([source], he.trained()) == [ARTICLE_TEXT]
+
+
+def test_an_unclosed_svg_ends_at_an_outer_end_tag():
+    assert seen("<p>one <a href=x><svg><path d=y></a> two</p>") == "one two"
+    assert seen("<div><svg><desc><p>label</div>after") == "after"
+    assert seen("<p>one<svg") == "one" and seen("<p>one<svg>label") == "one"
+
+
+def test_text_of_math_and_fallback_of_object_are_judged():
+    assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == "so x=2 holds"
+    assert seen("<p>see <object data=f><param name=a>a picture</object> here</p>") == "see a picture here"
