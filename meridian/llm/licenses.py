@@ -12,6 +12,10 @@ as has a text of nothing but copyright lines; repeated rows
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from importlib.resources import files
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,27 @@ KNOWN_TEXTS = [
     ("Apache-2.0", _APACHE_HEADER),
     ("GPL-3.0-or-later", _GPL3_HEADER),
 ]
+#: What ends the terms of a long text; an appendix on how to apply them may follow.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+@cache
+def full_texts() -> list[tuple[str, str]]:
+    """The long licence texts beside this file (an edition of one has its number after a plus
+    sign), each whole, without its appendix, without its first line, and without a
+    copyright line that is to be filled in."""
+    out = []
+    for file in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name = file.name.removesuffix(".txt").partition("+")[0]
+        text = file.read_text("utf-8").strip()
+        terms, end, _ = text.partition(TERMS_END)
+        forms = [text] + ([terms, terms + end] if end else [])
+        forms += [x.partition("\n")[2] for x in forms]
+        forms += [re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", x) for x in forms]
+        out += [(name, x) for x in dict.fromkeys(forms)]
+    return out
+
+
 KNOWN_NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -137,10 +162,13 @@ def known(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
     return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = KNOWN_TEXTS, notices: list[tuple[str, str]] = KNOWN_NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] = KNOWN_NOTICES) -> DataFrame:
     """One row per input row: doc_id, digest, license_id (of the entire text, else null),
-    n_notices (lines that are a known notice) and notice_ids (their ids, in order, once each)."""
+n_notices (lines that are a known notice) and notice_ids (their ids, in order, once each).
+
+    Without ``texts`` the known ones are KNOWN_TEXTS and full_texts()."""
     spark = docs.sparkSession
+    texts = [*KNOWN_TEXTS, *full_texts()] if texts is None else texts
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row_key"), canonical_lines(F.col("text")).alias("lines"))
     whole = slim.select("doc_id", "row_key", whole_digest(F.col("lines")).alias("digest"))
     whole = whole.join(F.broadcast(known(spark, texts)), "digest", "left")

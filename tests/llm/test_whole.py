@@ -3,6 +3,9 @@
 import pytest
 
 from meridian.llm import html_extract as he
+from meridian.llm import licenses as lic
+
+from .helpers import documents
 
 
 def seen(source):
@@ -46,3 +49,20 @@ def test_an_unclosed_svg_ends_at_an_outer_end_tag():
 def test_text_of_math_and_fallback_of_object_are_judged():
     assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == "so x=2 holds"
     assert seen("<p>see <object data=f><param name=a>a picture</object> here</p>") == "see a picture here"
+
+
+# ---- licences
+
+
+def license_ids(spark, texts):
+    got = {r.doc_id: r.license_id for r in lic.scan_licenses(documents(spark, texts)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_whole_texts_of_long_licences(spark):
+    names, texts = zip(*dict(reversed(lic.full_texts())).items())
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"} <= set(names)
+    filled = next(t for i, t in lic.full_texts() if i == "Apache-2.0").replace("[yyyy] [name of copyright owner]", "2024 someone")
+    bare = filled.partition(lic.TERMS_END)[0]
+    reflowed = " ".join(bare.split())
+    assert license_ids(spark, [*texts, filled, bare, reflowed, bare + "and more"]) == [*names, "Apache-2.0", "Apache-2.0", "Apache-2.0", None]
