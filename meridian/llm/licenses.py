@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form (case, copyright lines, punctuation, equivalent
 spellings and white space are levelled), and its SHA-256 is hash-joined with the digests
-of known licence texts; every single line is looked up in the same way among known
+of known licence texts, as it is and, for license_id alone, without further lines that begin
+like a copyright line; every single line is looked up in the same way among known
 licence notices. The known side is a fixed list, far below any broadcast limit.
 
 Defined results: null, empty or white-space texts match nothing and have a null digest,
@@ -139,10 +140,14 @@ SPELLINGS = [
     ("https", "http"),
 ]
 PUNCTUATION = "[^a-z0-9\\n\\x{80}-\\x{10FFFF}]+"
-#: A year, a sign or a name must follow: wrapped licence texts have lines that begin with the word.
+#: A year or a sign must follow: wrapped licence texts have lines that begin with the word.
 COPYRIGHT_LINE = "^(copyright (c|©|by|[0-9]{4})( |$)|c copyright|©|c [0-9]{4}|all rights reserved$)"
 
 
+#: Any line that begins like a copyright line, and how many of its words tell it from wrapped licence text.
+LIKE_COPYRIGHT, PHRASE_WORDS = "^((some )?portions (of this software )?(are )?)?(c )?copyright( |$)", 4
+
+
 def canonical_lines(text):
     """A text's lines in canonical form, without copyright lines and empty ones."""
     plain = F.regexp_replace(F.lower(text), PUNCTUATION, " ")
@@ -155,6 +160,24 @@ def whole_digest(lines):
     return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
+def copyright_phrases(spark: SparkSession, entries: list[tuple[str, str]]) -> list[str]:
+    """What the known texts say from the word copyright on, in up to PHRASE_WORDS words."""
+    made = spark.createDataFrame(entries, "license_id string, text string").select(F.array_join(canonical_lines(F.col("text")), " ").alias("text"))
+    found = set()
+    for row in made.distinct().collect():  # the fixed list
+        words = row.text.split(" ")
+        for i, word in enumerate(words):
+            if word == "copyright":
+                found |= {" ".join(words[i : i + n]) for n in range(1, PHRASE_WORDS + 1)}
+    return sorted(found)
+
+
+def bare_lines(lines, phrases: list[str]):
+    """Canonical lines without those that begin like a copyright line, with a name or anything
+    else, and not like known licence text that was wrapped there."""
+    return F.filter(lines, lambda x: ~x.rlike(LIKE_COPYRIGHT) | F.substring_index(x, " ", PHRASE_WORDS).isin(phrases))
+
+
 def known(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
     """(license_id, digest) of the known entries; one row for each digest."""
     lines = canonical_lines(F.col("text"))
@@ -170,8 +193,14 @@ n_notices (lines that are a known notice) and notice_ids (their ids, in order, o
     spark = docs.sparkSession
     texts = [*KNOWN_TEXTS, *full_texts()] if texts is None else texts
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row_key"), canonical_lines(F.col("text")).alias("lines"))
-    whole = slim.select("doc_id", "row_key", whole_digest(F.col("lines")).alias("digest"))
-    whole = whole.join(F.broadcast(known(spark, texts)), "digest", "left")
+    phrases = copyright_phrases(spark, texts)
+    bare = slim.select("doc_id", "row_key", "lines", bare_lines(F.col("lines"), phrases).alias("bare"))
+    # A second digest only where a line more is a copyright line; no known text loses one.
+    other = F.when(F.size("bare") < F.size("lines"), whole_digest(F.col("bare")))
+    whole = bare.select("doc_id", "row_key", whole_digest(F.col("lines")).alias("digest"), other.alias("bare_digest"))
+    of_text, of_bare = known(spark, texts), known(spark, texts).select(F.col("digest").alias("bare_digest"), F.col("license_id").alias("bare_id"))
+    whole = whole.join(F.broadcast(of_text), "digest", "left").join(F.broadcast(of_bare), "bare_digest", "left")
+    whole = whole.withColumn("license_id", F.coalesce("license_id", "bare_id"))
     # A notice is a short line: longer ones need no digest.
     longest = 2 * max(len(x) for _, x in notices)
     hits = slim.select("doc_id", "row_key", F.explode(F.filter("lines", lambda x: F.length(x) <= longest)).alias("line")).select("doc_id", "row_key", F.sha2("line", 256).alias("digest")).join(F.broadcast(known(spark, notices)), "digest")

@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import textwrap
+
 import pytest
 
 from meridian.llm import html_extract as he
@@ -66,3 +68,12 @@ def test_whole_texts_of_long_licences(spark):
     bare = filled.partition(lic.TERMS_END)[0]
     reflowed = " ".join(bare.split())
     assert license_ids(spark, [*texts, filled, bare, reflowed, bare + "and more"]) == [*names, "Apache-2.0", "Apache-2.0", "Apache-2.0", None]
+
+
+@pytest.mark.parametrize("line", ["Copyright Joyent, Inc. and other Node contributors.", "Copyright The Authors", "Copyright <YEAR> <NAME>", "Portions Copyright (c) 2001 X", "Copyright (c) 2020 A\nCopyright B and C\nPortions copyright D"])
+def test_copyright_lines_that_name_no_year(spark, line):
+    texts = dict(reversed(lic.KNOWN_TEXTS[:15]))
+    wrapped = ["\n".join(textwrap.wrap(texts[i], 30 + n)) for i in ("MIT", "BSD-3-Clause") for n in range(12)]
+    assert any("\ncopyright" in x for x in wrapped)
+    got = license_ids(spark, [f"{line}\n\n{t}" for t in [*texts.values(), *wrapped]] + [f"{texts['ISC']}\n{line}", line, f"{texts['MIT']}\nand {line}"])
+    assert got == [*texts, *["MIT"] * 12, *["BSD-3-Clause"] * 12, "ISC", None, None]
