@@ -1,8 +1,8 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 The writer gives every record a gzip member of its own. The reader's tasks each scan a
-byte range for gzip magic, accept a candidate only if a WARC header can be decoded from
-it, and own the records that start inside their range, reading past its end to finish the
+byte range for gzip magic, accept a candidate only if a WARC header, of any length, can be
+decoded from it, and own the records that start inside their range, reading past its end to finish the
 last one. Archives lie in the folder that driver and executors share and are read and
 written through Arrow's file systems, by URI.
 
@@ -34,8 +34,6 @@ MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
 #: Compressed bytes given to the decoder at a time.
 FEED_BYTES = 1 << 14
-#: Decoded bytes in which a member's WARC header must end.
-HEADER_BYTES = 1 << 16
 #: Copies of a revisited response that its revisits are dealt to.
 LOTS = 64
 FIXED_DATE = "2024-01-01T00:00:00Z"
@@ -132,7 +130,7 @@ class Ahead:
 def member(ahead: Ahead):
     """The member at the window's start: (its content, its compressed length), or None if
     no whole gzip member with a WARC header starts there."""
-    gz, out, have, fed = zlib.decompressobj(31), [], 0, 0
+    gz, out, begun, fed = zlib.decompressobj(31), [], False, 0
     try:
         while not gz.eof:
             piece = ahead.piece(fed)
@@ -140,13 +138,11 @@ def member(ahead: Ahead):
                 return None
             out.append(gz.decompress(piece))
             fed += len(piece)
-            have += len(out[-1])
-            if have <= HEADER_BYTES:
+            if not begun:
                 out = [b"".join(out)]
-                if have >= 5 and not out[0].startswith(b"WARC/"):
-                    return None
-            elif b"\r\n\r\n" not in out[0] and (len(out) == 1 or b"\r\n\r\n" not in b"".join(out[:2])):
-                return None
+                begun = len(out[0]) >= 5
+                if begun and not out[0].startswith(b"WARC/"):
+                    return None  # what begins like a record is read to its end, however long its header is
     except zlib.error:
         return None
     content = b"".join(out)

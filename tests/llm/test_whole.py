@@ -1,11 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
+import base64
+import random
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 from meridian.llm import html_extract as he
 from meridian.llm import licenses as lic
+from meridian.llm import warc
 
 from .helpers import documents
 
@@ -77,3 +81,19 @@ def test_copyright_lines_that_name_no_year(spark, line):
     assert any("\ncopyright" in x for x in wrapped)
     got = license_ids(spark, [f"{line}\n\n{t}" for t in [*texts.values(), *wrapped]] + [f"{texts['ISC']}\n{line}", line, f"{texts['MIT']}\nand {line}"])
     assert got == [*texts, *["MIT"] * 12, *["BSD-3-Clause"] * 12, "ISC", None, None]
+
+
+# ---- archives
+
+
+def test_records_with_long_headers_are_read(spark):
+    r = random.Random(5)
+    urls = ["data:text/html;base64," + base64.b64encode(r.randbytes(n)).decode() for n in (70_000, 150_000, 900_000)] + ["http://x/"]
+    df = spark.createDataFrame([(i, u, f"<p>{'same words ' * 200}</p>") for i, u in enumerate(urls)] + [(9, urls[2], "<p>own</p>")], "page_id long, url string, html string")
+    got = {x.page_id: x for x in warc.round_trip(df).collect()}
+    assert {i: x.url for i, x in got.items()} == {**dict(enumerate(urls)), 9: urls[2]}
+    assert [got[i].refers_to for i in (0, 1, 2, 3, 9)] == [3, 3, 3, None, None]
+    assert len({(got[i].payload_bytes, got[i].payload_digest) for i in range(4)}) == 1 and got[9].payload_bytes == 10
+    # The response that others refer to is the one with the long header.
+    back = df.where("page_id < 4").withColumn("page_id", -F.col("page_id"))
+    assert all(x.payload_bytes == got[0].payload_bytes for x in warc.round_trip(back).collect()) and warc.round_trip(back).count() == 4
