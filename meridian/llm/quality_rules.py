@@ -56,24 +56,35 @@ def normal_line(line):
     return F.lower(F.btrim(F.regexp_replace(line, GAPS, " "), F.lit(WHITE)))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs_per_host: int = 20, min_kept_percent: int = 30) -> DataFrame:
-    """One row per input row: doc_id, the base figures, removed_chars and kept.
+def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs_per_host: int = 20, min_kept_percent: int = 30) -> DataFrame:
+    """One row per input row: doc_id, the base figures, removed_chars, kept, and the text
+    without its lines above the limit (of rejected documents too; "" for a null text).
 
+    Other lines, blank ones among them, stay as they are and in their order.
     removed_chars counts the characters of words in lines above the limit; a document is
     depleted if fewer than ``min_kept_percent`` percent of its word_chars are left.
     """
     # A row's key is its id and what its text and host hash to.
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
     keyed = slim.withColumn("row_key", F.xxhash64("text", "host"))
-    base = base_figures(keyed, "text").drop("text", "host")
+    base = base_figures(keyed, "text").withColumnsRenamed({"text": "__text"})
     lines = F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != "")
-    hashed = F.sort_array(F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("host").isNull(), F.col("host"), x).alias("h"), F.length(F.translate(x, WHITE, "")).cast("long").alias("chars"))))
+    line_hash = lambda x: F.xxhash64(F.col("host").isNull(), F.col("host"), x)
+    hashed = F.sort_array(F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), F.length(F.translate(x, WHITE, "")).cast("long").alias("chars"))))
     marked = F.transform("lines", lambda x, k: F.struct(x["h"].alias("h"), x["chars"].alias("chars"), F.coalesce(F.get("lines", k - 1)["h"] != x["h"], F.lit(True)).alias("first")))
     each = keyed.withColumn("lines", hashed).select("doc_id", "row_key", F.inline(marked))
     common = each.where("first").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_docs_per_host).select("h")
     # Repeated rows share a key: the mean over them is what one row loses.
     of_line = each.join(common, "h").groupBy("doc_id", "row_key", "h").agg(F.sum("chars").alias("chars"), F.sum(F.col("first").cast("long")).alias("rows"))
-    gone = of_line.groupBy(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.sum(F.expr("chars div rows")).alias("gone"))
+    gone = of_line.groupBy(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.sum(F.expr("chars div rows")).alias("gone"), F.collect_list("h").alias("gone_lines"))
     out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("row_key").eqNullSafe(F.col("gone_key")), "left").withColumn("removed_chars", F.coalesce("gone", F.lit(0).cast("long")))
+    own = F.split("__text", "\n")
+    stays = lambda x: (normal_line(x) == "") | ~F.array_contains("gone_lines", line_hash(normal_line(x)))
+    cleaned = F.when(F.col("gone_lines").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(own, stays), "\n"))
     depleted = 100 * (F.col("word_chars") - F.col("removed_chars")) < min_kept_percent * F.col("word_chars")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce(cleaned, F.lit("")).alias("text"))
+
+
+def quality_rules(docs: DataFrame, **options) -> DataFrame:
+    """The figures of cleaned_documents, without the texts."""
+    return cleaned_documents(docs, **options).drop("text")

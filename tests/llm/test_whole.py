@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridian.llm import html_extract as he
 from meridian.llm import licenses as lic
 from meridian.llm import warc
+from meridian.llm.quality_rules import cleaned_documents, quality_rules
 
 from .helpers import documents
 
@@ -97,3 +98,18 @@ def test_records_with_long_headers_are_read(spark):
     # The response that others refer to is the one with the long header.
     back = df.where("page_id < 4").withColumn("page_id", -F.col("page_id"))
     assert all(x.payload_bytes == got[0].payload_bytes for x in warc.round_trip(back).collect()) and warc.round_trip(back).count() == 4
+
+
+# ---- quality rules
+
+
+def test_lines_above_the_limit_are_removed_from_the_text(spark):
+    body = ["\n\n".join(f"  Line {k} of {i} " + "and words " * 9 for k in range(3)) for i in range(4)]
+    texts = [f"Common  LINE\n{body[i]}\n common line \n\nend {i}\n" for i in range(4)] + ["other host\nCommon line", None, "common line", "Common line\nCommon line"]
+    hosts = {i: "a" for i in range(4)} | {4: "b", 5: "a", 6: None, 7: "a"}
+    docs = documents(spark, texts, hosts).withColumn("source", F.when(F.col("doc_id") != 6, F.col("source")))
+    rows = {r.doc_id: r for r in cleaned_documents(docs.unionAll(docs.where("doc_id = 1")), max_docs_per_host=2).collect()}
+    assert [rows[i].text for i in range(8)] == [f"{body[i]}\n\nend {i}\n" for i in range(4)] + [texts[4], "", texts[6], ""]
+    for r in rows.values():
+        assert len("".join(r.text.split())) == r.word_chars - r.removed_chars
+    assert "text" not in quality_rules(docs).columns
