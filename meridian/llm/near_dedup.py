@@ -14,6 +14,8 @@ their component is null and they are kept. Ties go to the smallest id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,9 +27,9 @@ from .common import M1, M2, M3, Work, WordHashes, components, mix, pieces, sprea
 #: Values in a band (half of them minima, half maxima) and bands: a pair at 0.85 is missed
 #: with probability (1 - 0.85^8)^48 = 2e-7, at 0.8 with 1e-4 (64 bands: 7e-6).
 ROWS, BANDS = 8, 48
-#: Shingles of a block of documents in the grid, and the documents of a clump that is
-#: compared as one; a larger clump is compared bucket by bucket.
-BLOCK_SHINGLES, CLUMP = 32_000, 20_000
+#: Shingles and documents of a block in the grid: what one side of a cell holds at most
+#: (a document of more shingles is a block of its own).
+BLOCK_SHINGLES, BLOCK_DOCS = 64_000, 128
 
 SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("doc", pa.int64()), ("words", pa.binary())])
@@ -184,11 +186,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two documents link if 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest id reachable over links and kept marks that document.
 
-    Exact copies join their class through the set's digest and are never paired. A
-    bucket's members are first compared with its smallest one, which puts most of a group
-    into one class. What is then still open, the documents outside the largest class of
-    their clump, is compared with the whole clump on a grid of blocks: both sides of a cell
-    are bounded, so a group of any size is spread over tasks, and no pair is a row.
+    Exact copies join their class through the set's digest and are never paired. Buckets
+    with the same members count once. A bucket's members are first compared with its
+    smallest one, which puts most of a group into one class. What is then still open, the
+    documents outside the largest class of their bucket, is compared with all of the
+    bucket whose set sizes allow a link, on a grid of blocks: both sides of a cell are
+    bounded, so a bucket of any size is spread over tasks, and no pair is a row. The rule
+    is the same at every size: a link is found if and only if both documents share a
+    bucket. A bucket's cost is its open documents times its documents; a copy of each
+    open document goes to each of its blocks.
     """
     spark = docs.sparkSession
     work = Work(spark, "near-dedup")
@@ -198,42 +204,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Exact copies: one representative for each set.
     reps = work.keep(sketch.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.min("bands").alias("bands"), F.max("n").alias("n")), "representatives")
     each = reps.select("rep", "n", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre")).where("c > 1")
-    members = work.keep(each.join(shared.select("key", "centre"), "key"), "buckets")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"m{i}") for i in (0, 1)]
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre"), *marks).where("c > 1")
+    shared = shared.groupBy("c", "centre", "m0", "m1").agg(F.min("key").alias("key")).select("key", "centre")
+    members = work.keep(each.join(shared, "key"), "buckets")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     texts = work.keep(read.where("doc is not null").join(wanted, "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
 
-    pairs = work.keep(members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    pairs = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     a, b = (texts.select(F.col("doc").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
     links = work.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b").mapInArrow(confirmed(percent), "a long, b long"), "links")
     classes = work.keep(components(links, work), "classes")
 
-    # A clump is what candidates alone connect; a very large one falls into its buckets.
-    candidates = work.keep(components(pairs, work), "clumps")
-    clumps = candidates.withColumnRenamed("node", "rep")
-    sizes = clumps.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    clumps = clumps.join(sizes, "root").select("rep", F.when(F.col("c") <= CLUMP, F.col("root")).alias("unit"))
-    units = clumps.where("unit is not null").select("unit", F.lit(0).alias("kind"), "rep")
-    units = units.unionByName(members.join(clumps.where("unit is null").select("rep"), "rep").select(F.col("key").alias("unit"), F.lit(1).alias("kind"), "rep").distinct())
-    named = units.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep").select("unit", "kind", "rep", "n", F.coalesce("root", "rep").alias("class"))
+    # Sets whose sizes lie more than one bin apart differ too much in size to link.
+    size_bin = F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / percent) * (1 + 1e-9), 1e-6)).cast("int")
+    named = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", size_bin.alias("bin"), F.coalesce("root", "rep").alias("class"))
     named = work.keep(named, "named")
-    of_class = named.groupBy("unit", "kind", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
-    of_unit = of_class.groupBy("unit", "kind").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), F.sum("n").alias("all_n"), F.max(F.struct("c", -F.col("class"), "n"))["n"].alias("main_n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    of_unit = of_unit.select("unit", "kind", "main", blocks(F.col("all_n") - F.col("main_n")).alias("open_blocks"), blocks(F.col("all_n")).alias("blocks"))
-    # Written, so that a clump with a third of all documents can be split when it meets its row.
-    of_unit = work.keep(of_unit, "units")
-    placed = named.join(of_unit, ["unit", "kind"])
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    others = placed.select("unit", "kind", F.explode(span(F.col("open_blocks"))).alias("i"), own(F.col("blocks")).alias("j"), F.lit(False).alias("is_open"), "rep", "class")
-    open_ = placed.where("class <> main").select("unit", "kind", own(F.col("open_blocks")).alias("i"), F.explode(span(F.col("blocks"))).alias("j"), F.lit(True).alias("is_open"), "rep", "class")
-    cells = open_.unionByName(others).join(texts.withColumnRenamed("doc", "rep"), "rep").select("unit", "kind", "i", "j", "is_open", "rep", "class", "words")
-    dealt = cells.repartition(spread(spark), "unit", "kind", "i", "j").sortWithinPartitions("unit", "kind", "i", "j", F.desc("is_open"))
+    of_class = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+    mains = work.keep(of_class.groupBy("key").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main"), "mains")
+    # Written, so that a bucket with a third of all documents can be split when it meets its row.
+    placed = work.keep(named.join(mains, "key"), "placed")
+    near = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")
+    open_ = placed.where("class <> main").select("key", near, "rep", "class", "n")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int")
+    units = placed.groupBy("key", "bin").agg(blocks.alias("blocks")).join(open_.groupBy("key", "bin").agg(blocks.alias("open_blocks")), ["key", "bin"])
+    units = work.keep(units, "units")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    others = placed.join(units, ["key", "bin"]).select("key", "bin", F.explode(span("open_blocks")).alias("i"), own("blocks").alias("j"), F.lit(False).alias("is_open"), "rep", "class")
+    open_ = open_.join(units, ["key", "bin"]).select("key", "bin", own("open_blocks").alias("i"), F.explode(span("blocks")).alias("j"), F.lit(True).alias("is_open"), "rep", "class")
+    cells = open_.unionByName(others).join(texts.withColumnRenamed("doc", "rep"), "rep").select("key", "bin", "i", "j", "is_open", "rep", "class", "words")
+    dealt = cells.repartition(spread(spark), "key", "bin", "i", "j").sortWithinPartitions("key", "bin", "i", "j", F.desc("is_open"))
     more = work.keep(dealt.mapInArrow(grid_links(percent), "a long, b long"), "links")
     if more.head(1):
         classes = work.keep(components(links.unionByName(more), work), "classes")
-    work.drop(texts, members, pairs, links, more, candidates, named, of_unit)
+    work.drop(texts, members, links, more, named, mains, placed, units)
     by_set = reps.select("d1", "d2", "rep").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = sketch.join(by_set, ["d1", "d2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -51,13 +51,25 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
 def test_large_group_with_open_members(spark, monkeypatch):
     """Members that differ a lot among themselves are compared on the grid of blocks."""
     monkeypatch.setattr(nd, "BLOCK_SHINGLES", 800)
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 7)
     base = prose(100, 5)
     texts = [base] + [edited(base, random.Random(s).choice((1, 2, 3, 5, 6, 7, 8)), s) for s in range(120)]
     want = brute_near(texts, 3, 85)
     assert len({c for _, _, c, _ in want}) > 5
     assert sorted(map(tuple, nd.near_duplicates(documents(spark, texts), width=3, percent=85, bands=48).collect())) == want
-    monkeypatch.setattr(nd, "CLUMP", 10)  # as does the way for clumps that are too large
-    assert sorted(map(tuple, nd.near_duplicates(documents(spark, texts), width=3, percent=85, bands=48).collect())) == want
+
+
+@pytest.mark.parametrize("around", [5, 3000])
+def test_links_do_not_depend_on_what_else_there_is(spark, around):
+    """The same planted pairs link among few and among many similar documents."""
+    base = prose(100, 5).split()
+    family = [" ".join(base[:60] + prose(40, 1000 + i).split()) for i in range(around)]  # alike, but not enough
+    planted = [" ".join(base[:60] + prose(40, 7000 + i).split()) for i in range(6)]
+    texts = [*planted, *(edited(t, k, 9 + k) for k, t in enumerate(planted)), *family]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(documents(spark, texts), width=3, percent=85, bands=48).collect()}
+    want = {i: c for i, _, c, _ in brute_near(texts[:17], 3, 85)}
+    assert {i: got[i] for i in range(12)} == {i: want[i] for i in range(12)} and len(set(want.values())) > 6
+    assert all(got[i] == i for i in range(12, len(texts)))
 
 
 def test_near_null_ids_repeats_and_clashes(spark):
