@@ -1,14 +1,16 @@
 """Rule-based document quality with cross-document line frequency, in SQL functions only.
 
 Base figures come from each text alone. Lines are then normalised (white space runs to
-one space, trimmed, lower case) and hashed; a line that occurs in more than
+one space, trimmed, lower case) and hashed, once; a line that occurs in more than
 ``max_docs_per_host`` documents of one host is boilerplate there and removed, and a
 document that keeps less than ``min_kept_percent`` of its line characters is rejected.
-A hot line never meets in one place: its count is combined before the shuffle.
+A hot line never meets in one place: its documents are told apart by (line, id), and
+their count is combined before the shuffle.
 
 Defined results: a null text is an empty one and fails the base rule; a null host is a
-host of its own; repeated rows count as documents of their own; null ids keep their rows.
-Words are runs of characters other than space and \\x09-\\x0D.
+host of its own; rows that share an id are one document in a line's count, and each is
+judged by its own text; rows without an id are judged, but count for no line. Words are
+runs of characters other than space and \\x09-\\x0D.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, Work
 
 GAPS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -56,6 +58,40 @@ def normal_line(line):
     return F.lower(F.btrim(F.regexp_replace(line, GAPS, " "), F.lit(WHITE)))
 
 
+#: Frequent lines that may be sent to every task (their hashes, 8 bytes each), and parts
+#: into which the documents of one line are dealt where there are more.
+SENT_LINES, LOTS = 500_000, 16
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs_per_host: int, min_kept_percent: int, with_text: bool) -> DataFrame:
+    spark = docs.sparkSession
+    work = Work(spark, "quality-rules")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
+    line_hash = lambda x: F.xxhash64(F.col("host").isNull(), F.col("host"), x)
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != ""), lambda x: F.struct(line_hash(x).alias("h"), F.length(F.translate(x, WHITE, "")).cast("long").alias("chars")))
+    # The one pass over the texts. Its result is written with a number for each row, which
+    # therefore stays the same however often tasks are repeated.
+    rows = base_figures(slim, "text").withColumn("lines", lines).withColumn("row", F.monotonically_increasing_id())
+    rows = work.keep(rows.select("row", "doc_id", *FIGURES, "lines", *(["text", "host"] if with_text else [])), "rows")
+    each = rows.select("row", "doc_id", F.inline("lines"))
+    seen = each.where("doc_id is not null").select("h", "doc_id").distinct()
+    common = work.keep(seen.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_docs_per_host).select("h"), "frequent")
+    if common.limit(SENT_LINES + 1).count() <= SENT_LINES:
+        hits = each.join(F.broadcast(common), "h")
+    else:  # a line's documents are dealt to several tasks
+        hits = each.withColumn("lot", F.pmod("row", F.lit(LOTS))).join(common.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long")))), ["h", "lot"])
+    gone = hits.groupBy("row").agg(F.sum("chars").alias("gone"), *([F.collect_set("h").alias("gone_lines")] if with_text else []))
+    out = rows.drop("lines").join(gone, "row", "left").withColumn("removed_chars", F.coalesce("gone", F.lit(0).cast("long")))
+    depleted = 100 * (F.col("word_chars") - F.col("removed_chars")) < min_kept_percent * F.col("word_chars")
+    columns = ["doc_id", *FIGURES, "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept")]
+    if with_text:
+        stays = lambda x: (normal_line(x) == "") | ~F.array_contains("gone_lines", line_hash(normal_line(x)))
+        cleaned = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
+        columns.append(F.coalesce(cleaned, F.lit("")).alias("text"))
+    return out.select(*columns)
+
+
 def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs_per_host: int = 20, min_kept_percent: int = 30) -> DataFrame:
     """One row per input row: doc_id, the base figures, removed_chars, kept, and the text
     without its lines above the limit (of rejected documents too; "" for a null text).
@@ -64,27 +100,9 @@ def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     removed_chars counts the characters of words in lines above the limit; a document is
     depleted if fewer than ``min_kept_percent`` percent of its word_chars are left.
     """
-    # A row's key is its id and what its text and host hash to.
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
-    keyed = slim.withColumn("row_key", F.xxhash64("text", "host"))
-    base = base_figures(keyed, "text").withColumnsRenamed({"text": "__text"})
-    lines = F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != "")
-    line_hash = lambda x: F.xxhash64(F.col("host").isNull(), F.col("host"), x)
-    hashed = F.sort_array(F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), F.length(F.translate(x, WHITE, "")).cast("long").alias("chars"))))
-    marked = F.transform("lines", lambda x, k: F.struct(x["h"].alias("h"), x["chars"].alias("chars"), F.coalesce(F.get("lines", k - 1)["h"] != x["h"], F.lit(True)).alias("first")))
-    each = keyed.withColumn("lines", hashed).select("doc_id", "row_key", F.inline(marked))
-    common = each.where("first").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_docs_per_host).select("h")
-    # Repeated rows share a key: the mean over them is what one row loses.
-    of_line = each.join(common, "h").groupBy("doc_id", "row_key", "h").agg(F.sum("chars").alias("chars"), F.sum(F.col("first").cast("long")).alias("rows"))
-    gone = of_line.groupBy(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.sum(F.expr("chars div rows")).alias("gone"), F.collect_list("h").alias("gone_lines"))
-    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("row_key").eqNullSafe(F.col("gone_key")), "left").withColumn("removed_chars", F.coalesce("gone", F.lit(0).cast("long")))
-    own = F.split("__text", "\n")
-    stays = lambda x: (normal_line(x) == "") | ~F.array_contains("gone_lines", line_hash(normal_line(x)))
-    cleaned = F.when(F.col("gone_lines").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(own, stays), "\n"))
-    depleted = 100 * (F.col("word_chars") - F.col("removed_chars")) < min_kept_percent * F.col("word_chars")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce(cleaned, F.lit("")).alias("text"))
+    return judged(docs, id_col, text_col, host_col, max_docs_per_host, min_kept_percent, True)
 
 
-def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """The figures of cleaned_documents, without the texts."""
-    return cleaned_documents(docs, **options).drop("text")
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs_per_host: int = 20, min_kept_percent: int = 30) -> DataFrame:
+    """The figures of cleaned_documents, without the texts, which are then not written either."""
+    return judged(docs, id_col, text_col, host_col, max_docs_per_host, min_kept_percent, False)
