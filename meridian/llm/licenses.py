@@ -3,12 +3,13 @@
 A text is brought to a canonical form (case, copyright lines, punctuation, equivalent
 spellings and white space are levelled), and its SHA-256 is hash-joined with the digests
 of known licence texts, as it is and, for license_id alone, without further lines that begin
-like a copyright line; every single line is looked up in the same way among known
-licence notices. The known side is a fixed list, far below any broadcast limit.
+like a copyright line; every single line in canonical form is looked up among known
+licence notices. The known side is a fixed list, far below any broadcast limit, so the
+scan is one pass without a shuffle.
 
 Defined results: null, empty or white-space texts match nothing and have a null digest,
-as has a text of nothing but copyright lines; repeated rows
-(equal id and text) count their notices together; a hot licence is no hot key, as the known side is broadcast; null ids keep their rows.
+as has a text of nothing but copyright lines; every row is looked up by itself, so repeated
+rows and null ids change nothing; a hot licence is no hot key, as the known side is sent.
 """
 
 from __future__ import annotations
@@ -185,25 +186,28 @@ def known(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
     return made.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def notice_ids(spark: SparkSession, entries: list[tuple[str, str]]):
+    """A map column from a notice in canonical form to its id."""
+    made = spark.createDataFrame(entries, "license_id string, text string").select("license_id", F.explode(canonical_lines(F.col("text"))).alias("line"))
+    rows = made.groupBy("line").agg(F.min("license_id").alias("license_id")).orderBy("line").collect()  # the fixed list
+    return F.create_map(*[F.lit(x) for r in rows for x in (r.line, r.license_id)]) if rows else F.lit(None).cast("map<string,string>")
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] = KNOWN_NOTICES) -> DataFrame:
     """One row per input row: doc_id, digest, license_id (of the entire text, else null),
-n_notices (lines that are a known notice) and notice_ids (their ids, in order, once each).
+    n_notices (lines that are a known notice) and notice_ids (their ids, in order, once each).
 
     Without ``texts`` the known ones are KNOWN_TEXTS and full_texts()."""
     spark = docs.sparkSession
     texts = [*KNOWN_TEXTS, *full_texts()] if texts is None else texts
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("row_key"), canonical_lines(F.col("text")).alias("lines"))
-    phrases = copyright_phrases(spark, texts)
-    bare = slim.select("doc_id", "row_key", "lines", bare_lines(F.col("lines"), phrases).alias("bare"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("lines"))
+    bare = slim.select("doc_id", "lines", bare_lines(F.col("lines"), copyright_phrases(spark, texts)).alias("bare"))
     # A second digest only where a line more is a copyright line; no known text loses one.
     other = F.when(F.size("bare") < F.size("lines"), whole_digest(F.col("bare")))
-    whole = bare.select("doc_id", "row_key", whole_digest(F.col("lines")).alias("digest"), other.alias("bare_digest"))
-    of_text, of_bare = known(spark, texts), known(spark, texts).select(F.col("digest").alias("bare_digest"), F.col("license_id").alias("bare_id"))
-    whole = whole.join(F.broadcast(of_text), "digest", "left").join(F.broadcast(of_bare), "bare_digest", "left")
-    whole = whole.withColumn("license_id", F.coalesce("license_id", "bare_id"))
-    # A notice is a short line: longer ones need no digest.
-    longest = 2 * max(len(x) for _, x in notices)
-    hits = slim.select("doc_id", "row_key", F.explode(F.filter("lines", lambda x: F.length(x) <= longest)).alias("line")).select("doc_id", "row_key", F.sha2("line", 256).alias("digest")).join(F.broadcast(known(spark, notices)), "digest")
-    found = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notice_ids"))
-    out = whole.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key")), "left")
-    return out.select("doc_id", "digest", "license_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("notice_ids", F.lit("")).alias("notice_ids"))
+    ids = notice_ids(spark, notices)
+    hits = F.filter(F.transform("lines", lambda x: F.try_element_at(ids, x)), lambda x: x.isNotNull())
+    found = bare.select("doc_id", whole_digest(F.col("lines")).alias("digest"), other.alias("bare_digest"), hits.alias("hits"))
+    of_text = known(spark, texts)
+    of_bare = of_text.select(F.col("digest").alias("bare_digest"), F.col("license_id").alias("bare_id"))
+    out = found.join(F.broadcast(of_text), "digest", "left").join(F.broadcast(of_bare), "bare_digest", "left")
+    return out.select("doc_id", "digest", F.coalesce("license_id", "bare_id").alias("license_id"), F.size("hits").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notice_ids"))
