@@ -9,7 +9,8 @@ much is settled on a few documents of falling size.
 
 Defined results: sources are ordered by code point with null last, null being a source
 of its own; empty or null texts have size 0 and take 0; an empty table gives no rows;
-rows that share an id share their rounding. Weights repeat along the ordered sources.
+rows that share id, source and size share their rounding and are never used to settle a
+remainder, nor are rows without an id. Weights repeat along the ordered sources.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .quality_rules import GAPS
 TOLERANCE, ROUNDS = 1e-9, 40
 #: So many documents for each octave of sizes and direction can settle a remainder.
 SETTLERS = 3
+#: Settling rows (some 40 bytes each) that may be sent to every task.
+SENT_PICKS = 200_000
 
 
 def size_of(text):
@@ -58,11 +61,14 @@ def source_targets(sizes: DataFrame, weights: list[int], cap: int) -> DataFrame:
     return per.select("source", "weight", "source_size", F.least(free, (cap * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[int] = (1, 2, 3), cap: int = 3, size=None) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, rate, copies, taken."""
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[int] = (1, 2, 3), cap: int = 3, size=None, carry: list[str] = ()) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, rate, copies, taken,
+    and in the struct ``carried`` the input's columns named in ``carry``, if any."""
     spark = docs.sparkSession
     work = Work(spark, "mixing")
-    sized = work.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), (size_of(F.col(text_col)) if size is None else size).alias("size")), "sizes")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), (size_of(F.col(text_col)) if size is None else size).alias("size"), *([F.struct(*carry).alias("carried")] if carry else []))
+    sized = work.keep(named, "sizes")
+    also = ["carried"] if carry else []
     classes = work.keep(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
     state = source_targets(classes, list(weights), cap)
     scale = classes.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale")).withColumnRenamed("source", "s2")
@@ -94,20 +100,27 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work.drop(classes)
     rate = F.when(F.col("free"), F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))))).otherwise(F.when(F.col("source_size") > 0, F.lit(float(cap))).otherwise(F.lit(1.0)))
     rated = sized.join(state.withColumnRenamed("source", "s2").drop("weight"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2").withColumn("rate", rate)
-    unit = F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)
-    rated = rated.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "free")
+    unit = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "source", "size"), F.lit(1 << 53)) / float(1 << 53)
+    rated = rated.withColumn("copies", (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "free", *also)
     # What rounding left over goes to a few documents, largest first, while it is at least half their size.
     octave = F.floor(F.log2("size")).cast("int")
     per_source = rated.where("free").groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
     can = rated.where("free and size > 0 and doc_id is not null").select("source", "doc_id", "size", octave.alias("octave"), F.pmod(F.xxhash64(F.lit("settle"), "doc_id"), F.lit(SETTLERS)).alias("lot"), F.explode(F.filter(F.array(F.when(F.col("copies") < cap, F.lit(1)), F.when(F.col("copies") > 0, F.lit(-1))), lambda x: x.isNotNull())).alias("sign"))
-    lots = can.groupBy("source", "octave", "lot", "sign").agg(F.min_by(F.struct("doc_id", "size"), F.struct("doc_id", "size")).alias("pick"))
-    queue = lots.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("pick.size").alias("size"), F.col("pick.doc_id").alias("doc_id"), "sign")), asc=False).alias("queue")).withColumnRenamed("source", "s2")
+    lots = can.groupBy("source", "octave", "lot", "sign").agg(F.min_by(F.struct("doc_id", "size"), F.struct("doc_id", "size")).alias("pick")).select("source", "sign", "pick.*")
+    lots = work.keep(lots, "picks")
+    # A few rows for each source and octave, so the table can be sent if there are few sources.
+    small = F.broadcast if lots.limit(SENT_PICKS + 1).count() <= SENT_PICKS else lambda df: df
+    # A move is made on every row that it names, so only ids that have one row may move.
+    picked = lots.select(F.col("doc_id").alias("picked")).distinct()
+    once = sized.where("doc_id is not null").join(small(picked), F.col("doc_id") == F.col("picked")).groupBy("picked").agg(F.count(F.lit(1)).alias("rows")).where("rows = 1").select(F.col("picked").alias("doc_id"))
+    lots = lots.join(small(once), "doc_id", "left_semi")
+    queue = lots.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "sign")), asc=False).alias("queue")).withColumnRenamed("source", "s2")
     start = F.struct(F.col("rest").cast("double").alias("rest"), F.array().cast("array<struct<doc_id:bigint,sign:int>>").alias("moves"))
 
     def settle(acc, c):
         useful = (acc["rest"] * c["sign"] >= c["size"] / 2) & ~F.exists(acc["moves"], lambda m: m["doc_id"] == c["doc_id"])
         return F.struct(F.when(useful, acc["rest"] - c["sign"] * c["size"]).otherwise(acc["rest"]).alias("rest"), F.when(useful, F.concat(acc["moves"], F.array(F.struct(c["doc_id"].cast("bigint").alias("doc_id"), c["sign"].cast("int").alias("sign"))))).otherwise(acc["moves"]).alias("moves"))
 
-    moves = per_source.join(queue, F.col("source").eqNullSafe(F.col("s2"))).select(F.inline(F.aggregate("queue", start, settle)["moves"])).groupBy(F.col("doc_id").alias("moved")).agg(F.min("sign").alias("sign"))
-    out = rated.join(moves, F.col("doc_id") == F.col("moved"), "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    moves = per_source.join(queue, F.col("source").eqNullSafe(F.col("s2"))).select(F.inline(F.aggregate("queue", start, settle)["moves"])).select(F.col("doc_id").alias("moved"), "sign")
+    out = rated.join(small(moves), F.col("doc_id") == F.col("moved"), "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0)))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *also)

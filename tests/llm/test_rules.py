@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.llm import licenses as lic
+from meridian.llm.common import Work
 from meridian.llm.mixing import mix_sources, source_targets
 from meridian.llm.quality_rules import quality_rules
 
@@ -20,8 +21,8 @@ def brute_rules(rows, limit=20, least=30):
     """rows: (id, text, host)"""
     hosts = Counter()
     lines = [[" ".join(GAPS.findall(line)).lower() for line in (t or "").split("\n") if GAPS.search(line)] for _, t, _ in rows]
-    for (_, _, host), own in zip(rows, lines):
-        hosts.update({(host, x) for x in own})
+    for host, x, _ in {(host, x, key) for (key, _, host), own in zip(rows, lines) for x in own if key is not None}:
+        hosts[host, x] += 1
     out = []
     for (key, t, host), own in zip(rows, lines):
         t = t or ""
@@ -49,18 +50,52 @@ def test_rules_equal_brute_force(spark):
 
 
 def test_rules_null_ids_repeats_and_empty(spark):
+    """A line counts the documents that hold it, by id; rows alone count nothing."""
     t = prose(60, 1)
-    rows = [(None, t, "h"), (None, t, "h"), (1, t, None), (1, t, None), (2, None, "h")]
-    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs_per_host=1)
-    assert sorted((r.doc_id or 0, r.removed_chars > 0, r.kept) for r in got.collect()) == [(0, True, False)] * 2 + [(1, True, False)] * 2 + [(2, False, False)]
-    assert quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    rows = [(None, t, "h"), (None, t, "h"), (1, t, None), (1, t, None), (2, None, "h"), (3, t, "a"), (3, t + "\n" + prose(9, 2), "a"), (4, t, "b"), (5, t, "b"), (None, t, "b")]
+    rows += [(10 + i // 2, prose(70, 500 + i) + "\nnotice", "twice") for i in range(22)]
+    schema = "doc_id long, text string, source string"
+    for limit in (1, 10, 11, 20):
+        got = sorted(map(tuple, quality_rules(spark.createDataFrame(rows, schema), max_docs_per_host=limit).collect()), key=repr)
+        assert got == sorted(brute_rules(rows, limit), key=repr)
+        gone = [r[7] for r in got if r[0] and r[0] >= 10]
+        assert all(g == (6 if limit < 11 else 0) for g in gone)
+    assert quality_rules(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rules_with_many_frequent_lines(spark, monkeypatch):
+    """Where frequent lines are too many to be sent, they meet their documents in a join."""
+    from meridian.llm import quality_rules as module
+
+    texts = [f"{prose(60, i)}\ncommon words here\n" + "\n".join(f"shared {k}" for k in range(i % 7)) for i in range(40)]
+    rows = [(i, t, "h") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(module, "SENT_LINES", 1)
+    assert sorted(map(tuple, quality_rules(df, max_docs_per_host=5).collect())) == brute_rules(rows, 5)
+
+
+def test_native_plans(spark, monkeypatch):
+    """No operator of this kind has a Python worker or a join of all pairs in any of its jobs."""
+    plans, keep = [], Work.keep
+
+    def kept(work, df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return keep(work, df, name)
+
+    monkeypatch.setattr(Work, "keep", kept)
+    docs = documents(spark, corpus()[:9])
+    for f in (quality_rules, lic.scan_licenses, mix_sources):
+        plans.append(f(docs)._jdf.queryExecution().toString())
+    assert len(plans) > 6
+    for plan in plans:
+        assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
 
 
-def test_native_plans(spark):
-    docs = documents(spark, corpus()[:4])
-    for df in (quality_rules(docs), lic.scan_licenses(docs)):
-        plan = df._jdf.queryExecution().toString()
-        assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+def test_licences_of_repeated_rows(spark):
+    text = "some words\nReleased under the MIT License."
+    docs = documents(spark, [text, "x"])
+    got = lic.scan_licenses(docs.unionAll(docs).unionAll(docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))).collect()
+    assert sorted((r.doc_id is None, r.n_notices, r.notice_ids) for r in got) == sorted([(False, 1, "MIT"), (False, 0, "")] * 2 + [(True, 1, "MIT"), (True, 0, "")])
 
 
 def test_licence_texts_in_other_forms(spark):
@@ -150,3 +185,21 @@ def test_mix_odd_tables(spark):
     assert (one.size, one.target, one.taken) == (4, 4.0, 4)
     same = mix_sources(spark.createDataFrame([(None, "a b", "x"), (5, "a b", "x"), (5, "a b", "x")], "doc_id long, text string, source string")).collect()
     assert len(same) == 3 and sum(r.taken for r in same) in (4, 6, 8)
+
+
+def test_mix_rows_that_share_an_id(spark):
+    """Rows of one id, or of none, are judged by their own sizes, and keep their own columns."""
+    import random
+    r = random.Random(8)
+    rows = [(None if i % 3 == 0 else i // 2, prose(1 + r.randrange(300), i), f"s{i % 4}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = mix_sources(df, carry=["text", "n_chars"]).collect()
+    assert sorted((x.doc_id or -1, x.carried.text, x.carried.n_chars, x.source) for x in got) == sorted((d or -1, t, n, s) for d, t, s, n in rows)
+    assert all(x.size == len(x.carried.text.split()) and 0 <= x.copies <= 3 and x.taken == x.copies * x.size for x in got)
+    of = {}
+    for x in got:
+        of.setdefault((x.doc_id, x.source, x.size), set()).add(x.copies)
+    assert all(len(v) == 1 for v in of.values())
+    for s in {x.source for x in got}:
+        own = [x for x in got if x.source == s]
+        assert sum(x.taken for x in own) == pytest.approx(own[0].target, rel=0.05)  # few ids have one row and may settle a remainder
