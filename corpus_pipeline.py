@@ -43,9 +43,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents until sources have their target weights."""
-    copies = mix_sources(docs).where("copies > 0 and size > 0").select(F.col("doc_id").alias("mixed_id"), "copies").distinct()
-    chosen = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    chosen = mix_sources(docs, carry=COLUMNS).where("copies > 0 and size > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("carried.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
