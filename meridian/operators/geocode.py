@@ -10,18 +10,17 @@ from .spatial import FOLD, search
 from .zones import SENT_VERTICES, TOLERANCE, load_zones, zones_of
 
 
-def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radius: float = DEFAULT_RADIUS, *, keys: list[str] = ("req_id",), mode: str = FOLD, sent_vertices: int = SENT_VERTICES) -> DataFrame:
+def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radius: float = DEFAULT_RADIUS, *, keys: list[str] = ("req_id",), mode: str = FOLD, sent_vertices: int = SENT_VERTICES, salt: int | None = 1) -> DataFrame:
     """The probes' keys, found, the address fields, country and weight.
 
     A probe takes the address of the point picked within the radius, its own region where
     that has one, else the region that contains the probe; the country always comes from
     the zones. Without a point the zones alone answer; without both nothing is found and
-    all fields are empty. ``keys`` must be unique; ``zones`` are loaded zones.
+    all fields are empty. ``keys`` must be unique; ``zones`` are loaded zones; ``salt`` is
+    that of ``search`` (None: measured).
     """
     keys = list(keys)
-    best = search(probes, points, radius, keys, mode)
-    # Payloads meet the few picked rows only, by id.
-    named = best.select(*keys, "point_id").join(points.select("point_id", *ADDRESS_FIELDS, "weight"), "point_id")
+    named = search(probes, points, radius, keys, mode, payload=ADDRESS_FIELDS, salt=salt).select(*keys, "point_id", *ADDRESS_FIELDS, "weight")
     placed = zones_of(probes.select(*keys, "lon", "lat"), zones, {"zone_region": REGION, "zone_country": COUNTRY}, sent_vertices=sent_vertices)
     out = placed.join(named, keys, "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
@@ -78,14 +77,15 @@ class ReverseGeocoder:
 
     ``points`` need point_id, x, y, the address fields and weight; visit_ord is point_id
     where it is missing. Zones are simplified as they are loaded, tolerance 0 leaves them.
+    Crowded cells are measured and dealt to several tasks (``salt`` None).
     """
 
-    def __init__(self, points: DataFrame, zones: DataFrame | None = None, *, search_radius: float = DEFAULT_RADIUS, mode: str = FOLD, tolerance: float = TOLERANCE):
+    def __init__(self, points: DataFrame, zones: DataFrame | None = None, *, search_radius: float = DEFAULT_RADIUS, mode: str = FOLD, tolerance: float = TOLERANCE, salt: int | None = None):
         self.spark: SparkSession = points.sparkSession
         self.points = points if "visit_ord" in points.columns else points.withColumn("visit_ord", F.col("point_id"))
         empty = self.spark.createDataFrame([], "zone_id bigint, zone_type tinyint, name string, polygon array<array<array<struct<x:double,y:double>>>>")
         self.zones = load_zones(empty if zones is None else zones, tolerance).persist()
-        self.radius, self.mode = checked_radius(search_radius), mode
+        self.radius, self.mode, self.salt = checked_radius(search_radius), mode, salt
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str, **options) -> ReverseGeocoder:
@@ -94,7 +94,7 @@ class ReverseGeocoder:
         return cls(read_points(spark, path), read_zones(spark, path), **options)
 
     def find_many(self, probes: DataFrame, keys: list[str] = ("req_id",), radius: float | None = None) -> DataFrame:
-        return reverse_geocode(probes, self.points, self.zones, self.radius if radius is None else radius, keys=list(keys), mode=self.mode)
+        return reverse_geocode(probes, self.points, self.zones, self.radius if radius is None else radius, keys=list(keys), mode=self.mode, salt=self.salt)
 
     def find_batch(self, requests: DataFrame, body: str = "body", key: str = "req_id") -> DataFrame:
         """JSON arrays of (lat, lon) pairs in, JSON arrays of answers out; [] for []."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_bytes, rfc3339
-from .ordering import numbered
+from .ordering import numbered, running_total
 
 PERCENTILES = (50, 95, 99)
+# Bounds of the latency histogram, in seconds, and the gauges of a sample.
 BUCKETS = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1)
 PEAKS = ["heap_alloc", "heap_sys", "heap_inuse", "stack_inuse", "sys", "process_rss_bytes", "num_goroutine"]
 SHOWN_SAMPLES = 100
@@ -21,10 +24,13 @@ def percentiles(rows: DataFrame, value: str, by: list[str] = (), ps: tuple[int,
     place; no group's values are gathered."""
     by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*by).orderBy("v") if by else Window.orderBy("v")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    run = counts.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(whole)})
-    at = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * p / 100), F.col("v"))).alias(f"p{p}") for p in ps]
+    # One running count over all groups, made by ranges; a group's own starts at its least.
+    run = running_total(counts, [*by, "v"], F.col("n"), "before")
+    whole = run.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    # Without groups this is one row.
+    run = run.join(F.broadcast(whole), F.lit(True)) if not by else run.join(whole, same)
+    at = [F.min(F.when(F.col("before") - F.col("start") + F.col("n") > F.floor(F.col("total") * p / 100), F.col("v"))).alias(f"p{p}") for p in ps]
     return run.groupBy(*by).agg(*at)
 
 

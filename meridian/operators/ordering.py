@@ -11,10 +11,12 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 
 def _ranged(rows: DataFrame, order: list[str], total: Column) -> tuple[DataFrame, Column]:
-    # Kept, so that both passes see the same ranges.
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    # Written, so that both passes see the same ranges.
+    ranged = scratch(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     sums = sorted((r["__part"], r["t"]) for r in ranged.groupBy("__part").agg(total.alias("t")).collect())
     before = [0, *accumulate(t for _, t in sums)]
     pairs = [x for (part, _), b in zip(sums, before) for x in (F.lit(part), F.lit(int(b)).cast("long"))]

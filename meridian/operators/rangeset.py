@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 MAX_KEY = (1 << 63) - 1
 #: Keys are first coalesced in buckets of so many, so no task sees all keys of a value.
 BUCKET = 1 << 20
@@ -62,35 +64,49 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     return started.withColumn("g", F.sum("new").over(upto)).groupBy("value", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi", "value")
 
 
+def covered(ranges: DataFrame) -> DataFrame:
+    """The ranges with (level, cell), a row for each power-of-two block of keys that they
+    are made of: cell c of level n holds the keys from c * 2^n on. However wide a range is,
+    it has at most two blocks a level, 126 in all."""
+    start = "named_struct('a', CAST(lo AS BIGINT), 'b', CAST(hi AS BIGINT), 'cells', CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>))"
+    first, last = "(s.a < s.b AND (s.a & 1) = 1)", "(s.a + CASE WHEN s.a < s.b THEN s.a & 1 ELSE 0 END < s.b AND (s.b & 1) = 1)"
+    block = lambda when, cell: f"CASE WHEN {when} THEN array(named_struct('level', n, 'cell', {cell})) ELSE CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>) END"
+    step = f"named_struct('a', shiftright(CASE WHEN {first} THEN s.a + 1 ELSE s.a END, 1), 'b', shiftright(CASE WHEN {last} THEN s.b - 1 ELSE s.b END, 1), 'cells', concat(s.cells, {block(first, 's.a')}, {block(last, 's.b - 1')}))"
+    return ranges.where("lo < hi").withColumn("c", F.explode(F.expr(f"aggregate(sequence(0, 63), {start}, (s, n) -> {step}, s -> s.cells)"))).select(*ranges.columns, "c.level", "c.cell")
+
+
+def holding(ranges: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The keys' rows joined with each range that holds the key: an equi-join on blocks, in
+    which every match is a result. A key looks only at levels that some range has."""
+    cells = scratch(covered(ranges), "blocks")
+    levels = [r.level for r in cells.select("level").distinct().collect()]  # at most 64
+    asked = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    return asked.withColumn("cell", F.expr(f"shiftright(`{key}`, level)")).join(cells, ["level", "cell"]).drop("level", "cell")
+
+
 def get(ranges: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    """The keys with ``value`` and ``contains``, through the range that covers each.
+    """The keys with ``value`` and ``contains``, through the range that holds each (of
+    several the one with the largest lo)."""
+    asked = keys.select(F.col(key).cast("long").alias("asked")).where("asked is not null").distinct()
+    found = holding(ranges.select("lo", "hi", "value"), asked, "asked").groupBy("asked").agg(F.max_by(F.struct("value"), "lo").alias("r"))
+    out = keys.join(found, keys[key].cast("long") == found["asked"], "left")
+    return out.withColumns({"value": F.col("r.value"), "contains": F.col("asked").isNotNull()}).drop("asked", "r")
 
-    A union sorted by position carries the last range start forward: an as-of join in one
-    sort instead of a comparison of all pairs.
-    """
-    starts = ranges.select(F.col("lo").alias("at"), F.lit(0).alias("kind"), "lo", "hi", "value", F.lit(None).cast("long").alias("asked"))
-    asked = keys.select(F.col(key).cast("long").alias("asked")).distinct()
-    probes = asked.select(F.col("asked").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("string").alias("value"), "asked")
-    width = BUCKET
-    # A range enters every bucket that it touches, so buckets are independent.
-    spread = starts.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    placed = spread.withColumn("at", F.greatest("at", F.col("bucket") * width)).unionByName(probes.withColumn("bucket", F.floor(F.col("at") / width)))
-    last = Window.partitionBy("bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    carried = placed.withColumn("r", F.last(F.when(F.col("kind") == 0, F.struct("lo", "hi", "value")), ignorenulls=True).over(last)).where("kind = 1")
-    found = carried.select("asked", F.when(F.col("asked") < F.col("r.hi"), F.col("r.value")).alias("value"), F.coalesce(F.col("asked") < F.col("r.hi"), F.lit(False)).alias("contains"))
-    return keys.join(found, keys[key].cast("long") == found["asked"], "left").drop("asked")
-
-
-def overlapping(left: DataFrame, right: DataFrame, width: int = BUCKET) -> DataFrame:
+
+def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (lo, hi, value, other_lo, other_hi, other_value) of ranges that share a key.
 
-    Ranges meet in the buckets that they touch; a pair is kept in its first common one.
+    Of two such ranges one holds the first key of the other, so each pair is found by a
+    lookup of first keys: in the right ranges, and of later ones in the left.
     """
-    cut = lambda df: df.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    a = cut(left.where("lo < hi"))
-    b = cut(right.where("lo < hi")).select("b", F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("value").alias("other_value"))
-    first = F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("other_lo") / width))
-    return a.join(b, "b").where((F.col("lo") < F.col("other_hi")) & (F.col("other_lo") < F.col("hi")) & (F.col("b") == first)).drop("b")
+    left = left.where("lo < hi").select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "value")
+    right = right.where("lo < hi").select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "value")
+    renamed = lambda df: df.select(F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("value").alias("other_value"))
+    columns = ["lo", "hi", "value", "other_lo", "other_hi", "other_value"]
+    asked = left.select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("value").alias("v"))
+    inside = holding(right, asked, "l").select(F.col("l").alias("lo"), F.col("h").alias("hi"), F.col("v").alias("value"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("value").alias("other_value"))
+    later = holding(left, renamed(right), "other_lo").where("other_lo > lo").select(columns)
+    return inside.select(columns).unionByName(later)
 
 
 def distinct_ids(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -2,19 +2,22 @@
 
 The plan depends on the zones' measured size. Few vertices are shipped to the tasks,
 which then need no shuffle at all; beyond that bound points and zone boxes meet in an
-equi-join on grid cells, and only points in a zone's box see its polygon. In both a box
-test comes first and the polygon test runs over whole Arrow batches.
+equi-join on grid cells, whose size follows each zone's own, and what is in a box is dealt
+out by zone, a polygon once for each lot of points. In both a box test comes first and the
+polygon test runs over whole Arrow batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import multipolygon_contains, simplify_polygons
 from ..schema import ZONES
+from ..sources.shared import scratch
 
 #: Zones of up to so many vertices in all (16 bytes each) may be sent to every task.
 SENT_VERTICES = 1_000_000
@@ -26,6 +29,18 @@ def arrays(polygon) -> list[list[np.ndarray]]:
     return [[np.array([(p["x"], p["y"]) for p in ring or []], float).reshape(-1, 2) for ring in rings or []] for rings in polygon or []]
 
 
+def flat_arrays(polygon: pa.ListScalar) -> list[list[np.ndarray]]:
+    """The same of a polygon in Arrow form, without a Python object for each vertex."""
+    out = []
+    for rings in polygon.values or ():
+        own = []
+        for ring in (rings.values if rings.is_valid else None) or ():
+            points = ring.values
+            own.append(np.zeros((0, 2)) if points is None else np.column_stack([points.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)]).astype(float))
+        out.append(own)
+    return out
+
+
 def nested(polygons: list[list[np.ndarray]]) -> list:
     return [[[{"x": float(a), "y": float(b)} for a, b in ring] for ring in rings] for rings in polygons]
 
@@ -47,7 +62,7 @@ def load_zones(zones: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = batch.schema.names.index("polygon")
-            polygon = [nested(simplify_polygons(arrays(p), tolerance)) for p in batch.column(at).to_pylist()]
+            polygon = [nested(simplify_polygons(flat_arrays(p), tolerance)) for p in batch.column(at)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(polygon, batch.schema.field(at).type))
 
     rows = boxed.select("zone_id", "zone_type", "name", "min_x", "min_y", "max_x", "max_y", "polygon")
@@ -66,12 +81,11 @@ def vertex_count(zones: DataFrame) -> int:
 class Index:
     """Zones in order of their id, tested against batches of points."""
 
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: r["zone_id"])
-        self.names = [r["name"] for r in rows]
-        self.ids = [r["zone_id"] for r in rows]
-        self.boxes = np.array([(r["min_x"], r["min_y"], r["max_x"], r["max_y"]) for r in rows], float).reshape(-1, 4)
-        self.polygons = [arrays(r["polygon"]) for r in rows]
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("zone_id")
+        self.names, self.ids = rows["name"].to_pylist(), rows["zone_id"].to_pylist()
+        self.boxes = np.column_stack([rows[c].to_numpy() for c in ("min_x", "min_y", "max_x", "max_y")]).astype(float).reshape(-1, 4)
+        self.polygons = [flat_arrays(p) for p in rows["polygon"]]
 
     def first(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For each point the place of its first zone, -1 without one."""
@@ -99,12 +113,14 @@ def zones_of(points: DataFrame, zones: DataFrame, types: dict[str, int | None],
     """As ``zone_of`` for several types of zones at once (None: all), a column for each."""
     points = points.drop(*types)
     of_type = lambda t: zones if t is None else split_zones(zones, t)
+    if not zones.is_cached:  # made once, however often it is looked at
+        zones = scratch(zones, "zones")
     if vertex_count(zones) > sent_vertices:
         for name, t in types.items():
             points = _by_cells(points, of_type(t), name, x, y)
         return points
-    rows = zones.collect()  # bounded by the count above
-    indexes = [Index([r for r in rows if t is None or r["zone_type"] == t]) for t in types.values()]
+    rows = zones.toArrow()  # bounded by the count above
+    indexes = [Index(rows if t is None else rows.filter(pc.equal(rows["zone_type"], t))) for t in types.values()]
     names = [*points.columns, *types]
 
     def run(batches):
@@ -125,27 +141,51 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+#: The smallest cell, in degrees; cells of a level are twice as wide as those before. Points
+#: of one zone that meet its polygon in one task.
+FINEST, LOT = 1e-6, 200_000
+
+
 def _by_cells(points: DataFrame, zones: DataFrame, name: str, x: str, y: str) -> DataFrame:
-    """The same by an equi-join on cells: a zone enters the cells of its box, a point one."""
-    stats = zones.agg(F.avg(F.col("max_x") - F.col("min_x")).alias("w"), F.avg(F.col("max_y") - F.col("min_y")).alias("h")).first()
-    w, h = max(stats.w or 0, 1e-6), max(stats.h or 0, 1e-6)
-    cells = lambda low, high, size: F.sequence(F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long"))
-    placed = zones.withColumn("cx", F.explode(cells("min_x", "max_x", w))).withColumn("cy", F.explode(cells("min_y", "max_y", h))).withColumnRenamed("name", "zone_name")
-    keyed = points.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.floor(F.col(x) / w).cast("long").alias("cx"), F.floor(F.col(y) / h).cast("long").alias("cy")).distinct()
-    pairs = keyed.join(placed, ["cx", "cy"]).where(F.col("__x").between(F.col("min_x"), F.col("max_x")) & F.col("__y").between(F.col("min_y"), F.col("max_y")))
+    """The same by an equi-join on cells, without a polygon on any joined row.
+
+    A zone enters the cells of its box at the level whose cells are as large as the box, so
+    at most four (nine at the edge of rounding), whatever other zones are like; a place
+    looks at one cell of each level that some zone has. Places in a box are then dealt out
+    by zone in lots, and each lot gets the polygon once.
+    """
+    largest = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(FINEST))
+    boxes = zones.withColumn("level", F.ceil(F.log2(largest / FINEST)).cast("int"))
+    width = F.lit(FINEST) * F.pow(F.lit(2.0), F.col("level"))
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    placed = boxes.withColumns({"cx": F.explode(F.sequence(at("min_x"), at("max_x")))}).withColumn("cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+    placed = placed.select("level", "cx", "cy", "zone_id", "min_x", "min_y", "max_x", "max_y")
+    levels = [r.level for r in boxes.select("level").distinct().collect()]  # some dozens at most
+    places = points.select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x is not null and __y is not null and not isnan(__x) and not isnan(__y)").distinct()
+    asked = places.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumns({"cx": at("__x"), "cy": at("__y")})
+    pairs = asked.join(placed, ["level", "cx", "cy"]).where(F.col("__x").between(F.col("min_x"), F.col("max_x")) & F.col("__y").between(F.col("min_y"), F.col("max_y"))).select("zone_id", "__x", "__y")
+    pairs = scratch(pairs, "in-boxes")
+    lots = pairs.groupBy("zone_id").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+    dealt = pairs.join(lots, "zone_id").select("zone_id", F.pmod(F.xxhash64("__x", "__y"), F.col("lots")).cast("int").alias("lot"), F.lit(1).alias("kind"), "__x", "__y", F.lit(None).cast("string").alias("name"), F.lit(None).cast(zones.schema["polygon"].dataType).alias("polygon"))
+    none = F.lit(None).cast("double")
+    polygons = zones.join(lots, "zone_id").select("zone_id", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("kind"), none.alias("__x"), none.alias("__y"), "name", "polygon")
 
     def run(batches):
+        key, polygon, word = None, [], None
         for batch in batches:
-            xs, ys, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            polygons, hit = batch.column(3), np.zeros(len(xs), bool)
-            for zone in np.unique(ids):
-                some = np.flatnonzero(ids == zone)
-                hit[some] = multipolygon_contains(arrays(polygons[int(some[0])].as_py()), xs[some], ys[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4)], names=["__x", "__y", "zone_id", "zone_name"]).filter(pa.array(hit))
-
+            zone, lot, kind, xs, ys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            edges = np.flatnonzero(np.concatenate([[True], (zone[1:] != zone[:-1]) | (lot[1:] != lot[:-1]) | (kind[1:] != kind[:-1])]))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(zone)]):
+                if kind[a] == 0:  # a lot's polygon comes before its places
+                    key, polygon, word = (zone[a], lot[a]), flat_arrays(batch.column(6)[a]), batch.column(5)[a].as_py()
+                elif key == (zone[a], lot[a]):
+                    hit = np.flatnonzero(multipolygon_contains(polygon, xs[a:b], ys[a:b])) + a
+                    yield pa.RecordBatch.from_arrays([pa.array(xs[hit]), pa.array(ys[hit]), pa.array(zone[hit]), pa.array([word] * len(hit), pa.string())], names=["__x", "__y", "zone_id", "zone_name"])
+
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    stream = polygons.unionByName(dealt).repartition(parts, "zone_id", "lot").sortWithinPartitions("zone_id", "lot", "kind")
     # A place has one answer, however many points stand there.
-    places = pairs.select("__x", "__y", "zone_id", "polygon", "zone_name")
-    hits = places.mapInArrow(run, "__x double, __y double, zone_id long, zone_name string").groupBy("__x", "__y").agg(F.min_by("zone_name", "zone_id").alias(name))
+    hits = stream.mapInArrow(run, "__x double, __y double, zone_id long, zone_name string").groupBy("__x", "__y").agg(F.min_by("zone_name", "zone_id").alias(name))
     return points.join(hits, (points[x] == hits["__x"]) & (points[y] == hits["__y"]), "left").drop("__x", "__y")
 
 

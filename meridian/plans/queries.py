@@ -12,20 +12,11 @@ from ..operators import compare, dictionary, geocode, metrics, rangeset, spatial
 from ..operators.geocode import reverse_geocode
 from ..operators.osm import BUILDING, INDUSTRIAL, PROTECTED, ROAD, border_kind, relation_kind, way_kind
 from ..operators.rings import way_lines
-from ..operators.zones import split_zones, zone_of, zones_of
+from ..operators.zones import load_zones, split_zones, zone_of, zones_of
 from ..schema import COUNTRY, REGION
+from . import build  # noqa: F401 - registers its queries
 from .derived import HOLE, OUTER, RADIUS, SQL, points, probes, table, zones
-
-ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        ALL[f.__name__] = (f, sql)
-        return f
-
-    return register
-
+from .registry import ALL, query
 
 # ---- search
 
@@ -85,6 +76,22 @@ def zone_lookup_by_cells(spark, sf_dir):
     return zone_of(probes(spark, sf_dir).select("req_id", "lon", "lat"), split_zones(zones(spark, sf_dir), COUNTRY), "zone_country", sent_vertices=0).select("req_id", "zone_country")
 
 
+_CURVED = SQL + """, curves AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, (n_nationkey % 5) * 4.0::DOUBLE + 2 AS cx, (n_nationkey // 5) * 4.0::DOUBLE + 2 AS cy, 0.2::DOUBLE + (n_nationkey % 6) * 0.9::DOUBLE AS r FROM nation),
+corner AS (SELECT k, name, i, cx + r * cos(i * 0.17::DOUBLE) * (1 - (i % 2) * 0.3::DOUBLE) AS x, cy + r * sin(i * 0.17::DOUBLE) * (1 - (i % 2) * 0.3::DOUBLE) AS y FROM curves, range(36) t(i)),
+edge AS (SELECT a.k, a.name, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM corner a JOIN corner b ON a.k = b.k AND b.i = (a.i + 1) % 36),
+hit AS (SELECT req_id, k, any_value(name) AS name FROM probes JOIN edge ON (ay > lat) <> (by_ > lat) AND lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+SELECT req_id, (SELECT arg_min(name, k) FROM hit h WHERE h.req_id = p.req_id) AS zone FROM probes p"""
+
+
+@query(_CURVED)
+def zone_lookup_curved(spark, sf_dir):
+    """Overlapping star-shaped zones of very different sizes, by the plan for large zones."""
+    n = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS zone_id", "n_name AS name", "(n_nationkey % 5) * 4.0D + 2 AS cx", "floor(n_nationkey / 5) * 4.0D + 2 AS cy", "0.2D + (n_nationkey % 6) * 0.9D AS r")
+    ring = F.expr("transform(sequence(0, 35), i -> struct(cx + r * cos(i * 0.17D) * (1 - (i % 2) * 0.3D) AS x, cy + r * sin(i * 0.17D) * (1 - (i % 2) * 0.3D) AS y))")
+    made = load_zones(n.select("zone_id", F.lit(REGION).cast("tinyint").alias("zone_type"), "name", F.array(F.array(ring)).alias("polygon")), 0)
+    return zone_of(probes(spark, sf_dir).select("req_id", "lon", "lat"), made, "zone", sent_vertices=0).select("req_id", "zone")
+
+
 def _edges(ring):
     return ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(ring, ring[1:] + ring[:1]))
 
@@ -101,8 +108,6 @@ def _ring(ring):
 def pip_concave(spark, sf_dir):
     """A concave polygon with a hole, by the vectorised kernel."""
     zone = spark.range(1).select(F.col("id").alias("zone_id"), F.lit(REGION).cast("tinyint").alias("zone_type"), F.lit("in").alias("name"), F.array(F.array(_ring(OUTER), _ring(HOLE))).alias("polygon"))
-    from ..operators.zones import load_zones
-
     found = zone_of(probes(spark, sf_dir).select("req_id", "lon", "lat"), load_zones(zone, 0), "zone")
     return found.select("req_id", F.col("zone").isNotNull().alias("inside"))
 
@@ -148,7 +153,7 @@ def parse_requests(spark, sf_dir):
 @query("SELECT o_orderkey AS req_id, CASE WHEN o_orderkey % 3 = 0 THEN 400 ELSE 200 END AS status, o_custkey / 2.0::DOUBLE AS lat, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey / 4.0::DOUBLE END AS lon FROM orders")
 def parse_paths(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    path = F.concat(F.lit("/rgeocode/address/"), F.expr("CAST(o_custkey / 2.0D AS STRING)"), F.lit("/"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'north' ELSE CAST(o_orderkey / 4.0D AS STRING) END"))
+    path = F.concat(F.lit("/v1/address/"), F.expr("CAST(o_custkey / 2.0D AS STRING)"), F.lit("/"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'north' ELSE CAST(o_orderkey / 4.0D AS STRING) END"))
     return geocode.parse_path(o.select(F.col("o_orderkey").alias("req_id"), path.alias("path")))
 
 
@@ -226,11 +231,12 @@ def localization_dictionary(spark, sf_dir):
 
 
 @query("""WITH nodes AS (SELECT c_custkey AS id, c_custkey * 7919 % 2003 AS x, c_custkey * 104729 % 1999 AS y FROM customer),
-refs AS (SELECT l_orderkey AS id, l_linenumber AS pos, (l_partkey * 13 + l_suppkey) % 3000 AS ref FROM lineitem)
+refs AS (SELECT l_orderkey AS id, l_linenumber AS pos, (l_partkey * 13 + l_suppkey) % (2 * (SELECT max(c_custkey) FROM customer)) AS ref FROM lineitem)
 SELECT refs.id, string_agg(x || ',' || y, ';' ORDER BY pos, ref) AS path FROM refs JOIN nodes ON ref = nodes.id WHERE NOT (x = 0 AND y = 0) GROUP BY 1""")
 def node_lines(spark, sf_dir):
     nodes = points(spark, sf_dir).select(F.col("point_id").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon"))
-    refs = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.expr("(l_partkey * 13 + l_suppkey) % 3000").alias("ref")))), lambda r: r["ref"])
+    n = nodes.agg(F.max("id")).first()[0]
+    refs = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.expr(f"(l_partkey * 13 + l_suppkey) % {2 * n}").alias("ref")))), lambda r: r["ref"])
     ways = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(refs.alias("nodes"))
     whole = lambda v: F.round(v * 100).cast("long").cast("string")
     return way_lines(ways, nodes).select("id", F.array_join(F.transform("line", lambda p: F.concat(whole(p["x"]), F.lit(","), whole(p["y"]))), ";").alias("path"))
@@ -284,18 +290,29 @@ def id_ranges(spark, sf_dir):
     return _ranges(spark, sf_dir)
 
 
-@query(f"WITH {_RANGES} SELECT o_orderkey AS key, value, value IS NOT NULL AS contains FROM orders LEFT JOIN ranges ON lo <= o_orderkey AND o_orderkey < hi")
+#: A range that no list of its parts could hold.
+WIDE = (10**12, 2**61)
+_WITH_WIDE = f"{_RANGES}, every AS (SELECT lo, hi, value FROM ranges UNION ALL SELECT {WIDE[0]}, {WIDE[1]}, 'wide')"
+
+
+def _with_wide(spark, sf_dir):
+    return _ranges(spark, sf_dir).unionByName(spark.createDataFrame([(*WIDE, "wide")], "lo bigint, hi bigint, value string"))
+
+
+@query(f"WITH {_WITH_WIDE}, q AS (SELECT o_orderkey AS key FROM orders UNION ALL SELECT o_orderkey * 400000000000 FROM orders) SELECT key, value, value IS NOT NULL AS contains FROM q LEFT JOIN every ON lo <= key AND key < hi")
 def range_get(spark, sf_dir):
-    return rangeset.get(_ranges(spark, sf_dir), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    return rangeset.get(_with_wide(spark, sf_dir), o.unionByName(o.select((F.col("key") * 400_000_000_000).alias("key"))))
 
 
-@query(f"WITH {_RANGES}, q AS (SELECT CAST(c_custkey * 3 AS BIGINT) AS lo, CAST(c_custkey * 3 + c_custkey % 9 AS BIGINT) AS hi, c_mktsegment AS value FROM customer) SELECT q.lo, q.hi, q.value, r.lo AS other_lo, r.hi AS other_hi, r.value AS other_value FROM q JOIN ranges r ON q.lo < r.hi AND r.lo < q.hi WHERE q.lo < q.hi")
+@query(f"WITH {_WITH_WIDE}, q AS (SELECT CAST(c_custkey * 3 AS BIGINT) AS lo, CAST(c_custkey * 3 + c_custkey % 9 AS BIGINT) AS hi, c_mktsegment AS value FROM customer UNION ALL SELECT 0, {WIDE[1]}, 'all' UNION ALL SELECT -5, 3, 'low') SELECT q.lo, q.hi, q.value, r.lo AS other_lo, r.hi AS other_hi, r.value AS other_value FROM q JOIN every r ON q.lo < r.hi AND r.lo < q.hi WHERE q.lo < q.hi")
 def range_overlap(spark, sf_dir):
     asked = table(spark, sf_dir, "customer").selectExpr("c_custkey * 3 AS lo", "c_custkey * 3 + c_custkey % 9 AS hi", "c_mktsegment AS value")
-    return rangeset.overlapping(asked, _ranges(spark, sf_dir))
+    more = spark.createDataFrame([(0, WIDE[1], "all"), (-5, 3, "low")], "lo bigint, hi bigint, value string")
+    return rangeset.overlapping(asked.unionByName(more), _with_wide(spark, sf_dir))
 
 
-_LOG = """log AS (SELECT l_orderkey * 10 + l_linenumber AS op_seq, CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'set_if_absent' WHEN 2 THEN 'set_if_absent' ELSE 'set' END AS op, l_partkey % 700 AS key, l_returnflag AS value FROM lineitem UNION ALL SELECT 200, 'clear', NULL, NULL),
+_LOG = """log AS (SELECT l_orderkey * 10 + l_linenumber AS op_seq, CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'set_if_absent' WHEN 2 THEN 'set_if_absent' ELSE 'set' END AS op, l_partkey AS key, l_returnflag AS value FROM lineitem UNION ALL SELECT 200, 'clear', NULL, NULL),
 live AS (SELECT * FROM log WHERE op_seq > 200 AND op <> 'clear'),
 firm AS (SELECT key, max(op_seq) AS s, arg_max(op, op_seq) AS op, arg_max(value, op_seq) AS value FROM live WHERE op IN ('set', 'delete') GROUP BY 1),
 soft AS (SELECT l.key, arg_min(l.value, l.op_seq) AS value FROM live l LEFT JOIN firm f ON l.key = f.key WHERE l.op = 'set_if_absent' AND (f.key IS NULL OR (f.op = 'delete' AND l.op_seq > f.s)) GROUP BY 1),
@@ -303,7 +320,7 @@ kept AS (SELECT key, value FROM firm WHERE op = 'set' UNION ALL SELECT key, valu
 
 
 def _replayed(spark, sf_dir):
-    log = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS op_seq", "CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'set_if_absent' WHEN 2 THEN 'set_if_absent' ELSE 'set' END AS op", "l_partkey % 700 AS key", "l_returnflag AS value")
+    log = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS op_seq", "CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'set_if_absent' WHEN 2 THEN 'set_if_absent' ELSE 'set' END AS op", "l_partkey AS key", "l_returnflag AS value")
     clear = spark.range(1).selectExpr("200L AS op_seq", "'clear' AS op", "CAST(NULL AS BIGINT) AS key", "CAST(NULL AS STRING) AS value")
     return rangeset.replay(log.unionByName(clear))
 
@@ -431,18 +448,6 @@ def timestamps(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.rfc3339(F.col("o_orderdate")).alias("stamp"))
 
 
-@query("SELECT section, bytes FROM (SELECT count(*) AS n FROM customer), LATERAL (VALUES ('tree_ids', 8 * n), ('tree_coords', 16 * n), ('row_offsets', 8 * (n + 1)), ('rows', 21 * n)) v(section, bytes)")
-def cache_size(spark, sf_dir):
-    """Sections of a written file whose size follows from its number of rows."""
-    import tempfile
-
-    from ..sources.cache_files import sizes, write_cache
-
-    with tempfile.TemporaryDirectory() as folder:
-        found = sizes(spark, write_cache(points(spark, sf_dir), None, f"{folder}/points"))
-    return found.where(F.col("section").isin("tree_ids", "tree_coords", "row_offsets", "rows"))
-
-
 @query("SELECT CAST(i AS BIGINT) AS id, 51.3::DOUBLE + 0.4::DOUBLE * ((i * 7919 + 13) % 10007) / 10007.0::DOUBLE AS lat, -0.5::DOUBLE + 0.7::DOUBLE * ((i * 104729 + 29) % 10009) / 10009.0::DOUBLE AS lon FROM range(1000) t(i)")
 def generated_points(spark, sf_dir):
     """Points in a box from their number alone, the same in every engine."""

@@ -10,7 +10,7 @@ from meridian.functions import geometry as g
 from meridian.operators import spatial
 from meridian.operators.geocode import ReverseGeocoder, parse_path, parse_request, read_info, reverse_geocode
 from meridian.operators.zones import load_zones, rectangle, split_zones, zone_of
-from meridian.schema import checked_radius
+from meridian.schema import POLYGON, checked_radius
 
 
 def points_frame(spark, rows):
@@ -177,7 +177,7 @@ def test_requests_and_paths(spark):
     bodies = ["[]", "[[1, 2]]", "[[1,2], [3,4]]", "[[-1.4, -1],[-0, 1]]", "[[1]]", "[[1,2,3]]", "nonsense"]
     rows = parse_request(spark.createDataFrame(list(enumerate(bodies)), "req_id long, body string")).collect()
     assert sorted((r.req_id, r.pos, r.lat, r.lon) for r in rows) == [(1, 0, 1, 2), (2, 0, 1, 2), (2, 1, 3, 4), (3, 0, -1.4, -1), (3, 1, 0, 1), (4, 0, 1, 0), (5, 0, 1, 2)]
-    paths = parse_path(spark.createDataFrame([(0, "/rgeocode/address/1.5/2"), (1, "/rgeocode/address/x/2")], "req_id long, path string")).orderBy("req_id").collect()
+    paths = parse_path(spark.createDataFrame([(0, "/v1/address/1.5/2"), (1, "/v1/address/x/2")], "req_id long, path string")).orderBy("req_id").collect()
     assert [(p.status, p.lat, p.lon) for p in paths] == [(200, 1.5, 2.0), (400, None, 2.0)]
 
 
@@ -199,15 +199,15 @@ def test_geocoder_batches_keep_order(spark):
     coder.close()
 
 
-def test_plans(spark, sf_dir):
+def test_plans(spark, sf_dir, tmp_path):
     """Radius search is a hash or merge join on cells, never a nested loop; boxes reach the scan."""
     from meridian.plans import queries as plans
     plan = lambda df: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     text = plan(plans.radius_join(spark, sf_dir))
     assert "NestedLoop" not in text and "Cartesian" not in text
     pts = points_frame(spark, [(1, 1, 1, 1)])
-    pts.write.mode("overwrite").parquet("/tmp/meridian-plan-test")
-    text = plan(spatial.in_box(spark.read.parquet("/tmp/meridian-plan-test"), 0, 0, 1, 1).select("point_id"))
+    pts.write.mode("overwrite").parquet(str(tmp_path / "points"))
+    text = plan(spatial.in_box(spark.read.parquet(str(tmp_path / "points")), 0, 0, 1, 1).select("point_id"))
     assert "GreaterThanOrEqual(x" in text and "ReadSchema: struct<point_id:bigint,x:double,y:double>" in text
 
 
@@ -244,3 +244,26 @@ def test_zone_plans_agree_on_polygons(spark):
     sent = sorted(tuple(r) for r in zones_of(probes, zones, types).na.fill("").collect())
     met = sorted(tuple(r) for r in zones_of(probes, zones, types, sent_vertices=0).na.fill("").collect())
     assert sent == met and len({r[-1] for r in sent}) == 7
+
+
+def test_a_crowded_cell_is_dealt_out(spark, monkeypatch):
+    """Cells are counted, the fullest is split, and the answers stay."""
+    monkeypatch.setattr(spatial, "CROWD", 50)
+    pts = points_frame(spark, [(i, 5 + i / 1e5, 5.0, i % 7) for i in range(400)] + [(900, 9.0, 9.0, 1)])
+    probes = spark.createDataFrame([(0, 5.0, 5.0), (1, 9.0, 9.0), (2, 0.0, 0.0)], "req_id long, lon double, lat double")
+    assert spatial.crowding(pts, 0.01) == 8 and spatial.crowding(pts.limit(0), 0.01) == 1
+    one, dealt = (sorted(map(tuple, spatial.search(probes, pts, 0.01, ["req_id"], payload=["name"], salt=s).collect())) for s in (1, None))
+    assert one == dealt and len(one) == 2
+
+
+def test_zones_of_all_sizes_by_cells(spark):
+    """One country among villages: few cells each, and the same answers as when zones are sent."""
+    import random
+    r = random.Random(3)
+    squares = [(i, r.uniform(0, 20), r.uniform(0, 20), r.choice([1e-5, 0.01, 0.3, 4])) for i in range(60)] + [(99, 0.0, 0.0, 1000.0), (100, 5.0, 5.0, 0.0)]
+    ring = lambda x, y, s: [{"x": x, "y": y}, {"x": x + s, "y": y}, {"x": x + s, "y": y + s}, {"x": x, "y": y + s}]
+    zones = load_zones(spark.createDataFrame([(k, 1, f"z{k}", [[ring(x, y, s)]]) for k, x, y, s in squares], f"zone_id bigint, zone_type tinyint, name string, polygon {POLYGON}"), 0)
+    rows = [(i, r.uniform(-2, 22), r.uniform(-2, 22)) for i in range(500)] + [(600 + k, x + s / 2, y + s / 2) for k, x, y, s in squares] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, 5.0, 5.0)]
+    pts = spark.createDataFrame(rows, "id long, lon double, lat double")
+    got = [sorted(map(tuple, zone_of(pts, zones, "z", sent_vertices=n).select("id", "z").collect())) for n in (10**6, 0)]
+    assert got[0] == got[1] and len({z for _, z in got[0]}) > 10

@@ -56,6 +56,21 @@ def test_get_and_overlap(spark):
     assert sorted((r.value, r.other_value) for r in rangeset.overlapping(other, ranges).collect()) == [("q", "a"), ("q", "b"), ("q", "c")]
 
 
+def test_wide_ranges(spark):
+    """A range of any width has few blocks, and they hold its keys and no others."""
+    r, top = random.Random(6), rangeset.MAX_KEY
+    ranges = [(-(2**62), -(2**61) + 7, "low"), (-9, 2**61, "wide"), (2**61, 2**61 + 1, "one"), (2**62 + 3, top, "high"), (5, 5, "empty")]
+    df = spark.createDataFrame(ranges, "lo long, hi long, value string")
+    assert rangeset.covered(df).count() < 4 * 126 and rangeset.covered(df).where("value = 'empty'").count() == 0
+    keys = sorted({k + d for lo, hi, _ in ranges for k in (lo, hi) for d in (-1, 0, 1) if abs(k + d) <= top} | {r.randrange(-top, top) for _ in range(200)})
+    got = {x.key: x.value for x in rangeset.get(df, spark.createDataFrame([(k,) for k in keys], "key long")).collect()}
+    assert got == {k: next((v for lo, hi, v in ranges if lo <= k < hi), None) for k in keys}
+    others = [tuple(sorted((r.choice(keys), r.choice(keys)))) for _ in range(60)] + [(0, 2**61)]
+    pairs = rangeset.overlapping(spark.createDataFrame([(a, b, str(i)) for i, (a, b) in enumerate(others)], "lo long, hi long, value string"), df)
+    want = sorted((str(i), v) for i, (a, b) in enumerate(others) for lo, hi, v in ranges if a < b and lo < hi and a < hi and lo < b)
+    assert sorted((x.value, x.other_value) for x in pairs.collect()) == want
+
+
 def test_empty_and_limits(spark):
     assert rangeset.coalesce_keys(rangeset.replay(log_frame(spark, [("delete", 1, None)]))).count() == 0
     assert rangeset.empty(spark).columns == ["lo", "hi", "value"]
