@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import re
 import uuid
 
 import numpy as np
@@ -11,6 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
+
+GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: The six characters that separate words (the complement of a word's characters).
 WHITE = " \t\n\x0b\x0c\r"
 #: A worker remembers the hashes of so many different words; others are hashed each time.
@@ -53,14 +56,37 @@ def pieces(texts: list, limit: int = PIECE_CHARS):
         yield start, len(texts)
 
 
+def segments(data: bytes, limit: int = PIECE_CHARS):
+    """A long text in runs of about ``limit`` bytes, cut where words end."""
+    at = 0
+    while len(data) - at > limit:
+        gap = GAP.search(data, at + limit)
+        end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def hashed_words(texts: list, hashes: WordHashes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words one after the other, and how many each text has.
+
+    Texts of any length are taken apart in segments, so only hashes are held of all words."""
+    flat, counts = [], []
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass") if t else b""
+        n = 0
+        for part in segments(data.lower() if lower else data):
+            words = part.split()
+            n += len(words)
+            if words:
+                flat.append(hashes.of(words))
+        counts.append(n)
+    return np.concatenate(flat) if flat else np.zeros(0, np.uint64), np.array(counts, np.int64)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(checkpoint_root, "own", None)
-        if root is None:
-            root = checkpoint_root.own = "file://" + tempfile.mkdtemp(prefix="meridian-checkpoints-")
-    return root.rstrip("/")
+    """The folder that driver and executors share; one of our own only in local mode."""
+    return shared_root(spark)
 
 
 class Work:

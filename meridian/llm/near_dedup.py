@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, M3, Work, WordHashes, components, mix, pieces, spread
+from .common import M1, M2, M3, Work, WordHashes, components, hashed_words, mix, pieces, spread
 
 #: Values in a band (half of them minima, half maxima) and bands: a pair at 0.85 is missed
 #: with probability (1 - 0.85^8)^48 = 2e-7, at 0.8 with 1e-4 (64 bands: 7e-6).
@@ -37,9 +37,7 @@ SETS = pa.schema([("doc", pa.int64()), ("words", pa.binary())])
 
 def shingle_sets(texts: list, width: int, hashes: WordHashes) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    flat = hashes.of([w for words in split for w in words])
+    flat, counts = hashed_words(texts, hashes, lower=True)
     size = len(flat) - width + 1
     grams = flat[:0]
     if size > 0:
@@ -48,11 +46,11 @@ def shingle_sets(texts: list, width: int, hashes: WordHashes) -> list[np.ndarray
             grams = ((grams ^ (grams >> np.uint64(31))) * M1) + flat[j : j + size] * M3
         grams = mix(grams)
     out, at = [], 0
-    for words, n in zip(split, counts):
+    for text, n in zip(texts, counts.tolist()):
         if n >= width:
             out.append(np.unique(grams[at : at + n - width + 1]))
         elif n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], dtype=np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), seed=1)], dtype=np.uint64))
         else:
             out.append(flat[:0])
         at += n

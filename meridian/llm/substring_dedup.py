@@ -9,7 +9,13 @@ part of a removal interval; overlapping intervals are merged and cut out.
 
 Equal windows of one batch are combined before the shuffle: only the batch's smallest
 document of a window travels, so a passage that a third of all documents hold sends one
-record for each batch.
+record for each batch. A run of words that is frequent among different passages (a
+greeting, a slogan) would draw all their windows to one task as their minimizer; such
+minimizers are found by counting on a sample of the documents, and their windows are dealt
+by their own hash instead. The sample decides only where windows are counted.
+
+Windows are equal if their 64-bit hashes are: of n different windows some n^2 / 2^65 pairs
+are taken for equal wrongly, one in 10^10 windows of a corpus of 10^9.
 
 Defined results: null or empty texts have no words and stay as they are; texts shorter
 than a window lose nothing; repeats inside one document only are kept; of rows with
@@ -27,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mix, pieces, spread
+from ..sources.shared import scratch
+from .common import WordHashes, hashed_words, mix, pieces, segments, spread
 
 GRAM = 8
 BASE = 0x9E3779B97F4A7C1D | 5
 #: Characters of the texts that a task combines before the shuffle.
 PIECE = 4_000_000
+#: One document of so many is in the sample that finds frequent minimizers; how many windows
+#: one must draw there; how many such minimizers may be sent to every task (8 bytes each).
+SAMPLED, FEW, HOT = 64, 200, 50_000
 #: Marks cuts that a batch has settled itself.
 SETTLED = -1
 
@@ -83,15 +93,48 @@ def spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def windows(width: int, buckets: int):
+def minimizers(flat: np.ndarray, width: int) -> np.ndarray:
+    """The minimizer of each window of consecutive words."""
+    return least_in_runs(rolling(flat, GRAM), width - GRAM + 1) if width > GRAM else rolling(flat, width)
+
+
+def drawn(width: int):
+    """(minimizer, different windows that it draws) of each sampled text, and of all rows
+    (null, bytes of their texts)."""
+
+    def run(batches):
+        hashes, kinds = WordHashes(), ["least", "n"]
+        for batch in batches:
+            least, n = [], []
+            for text in batch.column(0).to_pylist():
+                flat, _ = hashed_words([text], hashes)
+                win = rolling(flat, width)
+                if len(win):
+                    own, count = np.unique(minimizers(flat, width)[np.unique(win, return_index=True)[1]], return_counts=True)
+                    least.append(own.view(np.int64))
+                    n.append(count.astype(np.int64))
+            size = int(np.nansum(batch.column(1).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([size], pa.int64())], names=kinds)
+            if least:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(least)), pa.array(np.concatenate(n))], names=kinds)
+
+    return run
+
+
+def hot_minimizers(counts: DataFrame, width: int, windows_a_bucket: float) -> np.ndarray:
+    """Minimizers that seem to draw more than half a bucket's windows, at most HOT of them,
+    the most frequent first."""
+    rows = counts.where(F.col("least").isNotNull() & (F.col("n") > max(FEW, windows_a_bucket / 2 / SAMPLED))).orderBy(F.desc("n"), "least").limit(HOT).collect()
+    return np.sort(np.array([r.least for r in rows], np.int64).view(np.uint64))
+
+
+def windows(width: int, buckets: int, hot: np.ndarray):
     """Records of windows that share a minimizer, and cuts that a batch can settle itself."""
 
     def piece(ids: np.ndarray, texts: list, hashes: WordHashes):
         order = np.argsort(ids, kind="stable")
-        split = [texts[i].encode("utf-8", "surrogatepass").split() if texts[i] else [] for i in order]
         ids = ids[order]
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        flat = hashes.of([w for words in split for w in words])
+        flat, counts = hashed_words([texts[i] for i in order], hashes)
         win = rolling(flat, width)
         if not len(win):
             return None
@@ -101,8 +144,11 @@ def windows(width: int, buckets: int):
         whole = np.flatnonzero(pos + width <= counts[doc])
         if not len(whole):
             return None
-        least = least_in_runs(rolling(flat, GRAM), width - GRAM + 1)[whole] if width > GRAM else win[whole]
+        least = minimizers(flat, width)[whole]
         win, doc, pos = win[whole], doc[whole], pos[whole]
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
+            least = np.where(hot[at] == least, win, least)
         first_id = ids[doc]
         # Only a window's smallest document in this piece travels; the rest is cut by it.
         by = np.lexsort((first_id, win))
@@ -192,14 +238,27 @@ def counted(width: int):
     return run
 
 
-def cut_out(text: str | None, intervals: list[tuple[int, int]]) -> tuple[int, int, list[bytes]]:
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
-    kept, at = [], 0
-    for a, b in intervals:
-        kept += words[at:a]
-        at = max(at, b)
-    kept += words[at:]
-    return len(words), len(words) - len(kept), kept
+def cut_out(text: str | None, intervals: list[tuple[int, int]]) -> tuple[int, int, bytes | None, str]:
+    """(words, removed words, kept words joined by one space or None if all, their digest)."""
+    digest, kept, n, gone, first = hashlib.sha256(), [], 0, 0, True
+    for part in segments(text.encode("utf-8", "surrogatepass") if text else b""):
+        words = part.split()
+        if intervals:
+            own, at = [], 0
+            for a, b in intervals:
+                own += words[at : max(a - n, at)]
+                at = max(at, min(b - n, len(words)))
+            own += words[at:]
+            n, gone, words = n + len(words), gone + len(words) - len(own), own
+        else:
+            n += len(words)
+        if words:
+            run = (b"" if first else b" ") + b" ".join(words)
+            digest.update(run)
+            first = False
+            if intervals:
+                kept.append(run)
+    return n, gone, b"".join(kept) if gone else None, digest.hexdigest()
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, words_a_bucket: int = 1_500_000) -> DataFrame:
@@ -213,11 +272,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     rest = docs.drop(*(set(added.names) - {id_col, text_col}))
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    chars = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # One pass gives the size of all texts and the sample's minimizers.
+    picked = F.when(F.pmod(F.xxhash64(F.lit("sample"), "doc"), F.lit(SAMPLED)) == 0, F.col("text")).alias("text")
+    counts = read.select(picked, F.octet_length("text").cast("long").alias("n")).mapInArrow(drawn(width), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    counts = scratch(counts.where(F.col("least").isNull() | (F.col("n") > FEW)), "minimizers")
+    chars = counts.where("least is null").agg(F.sum("n")).first()[0] or 0
     # About 32 MB of text, and so 48 MB of hashes, for each task that counts.
     parts = max(spread(spark), chars // 32_000_000)
     buckets = max(4 * parts, chars // 6 // words_a_bucket + 1)
-    runs = read.mapInArrow(windows(width, buckets), "bucket int, hashes binary, docs binary, starts binary, lengths binary")
+    hot = hot_minimizers(counts, width, chars / 6 / buckets)
+    runs = read.mapInArrow(windows(width, buckets, hot), "bucket int, hashes binary, docs binary, starts binary, lengths binary")
     # Cuts settled within a batch are dealt out by what they hold, buckets by their number.
     dealt = runs.repartition(parts, F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("docs", "starts"))).sortWithinPartitions("bucket")
     cuts = dealt.mapInArrow(counted(width), "doc long, cut_from int, cut_to int")
@@ -232,9 +296,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cuts = columns.pop().to_pylist()
             rows = []
             for text, cut in zip(columns[text_at].to_pylist(), cuts):
-                total, gone, words = cut_out(text, spans([(x["cut_from"], x["cut_to"]) for x in cut or ()]))
-                joined = b" ".join(words)
-                rows.append((total, gone, joined.decode("utf-8", "surrogatepass") if gone else text, hashlib.sha256(joined).hexdigest()))
+                total, gone, kept, digest = cut_out(text, spans([(x["cut_from"], x["cut_to"]) for x in cut or ()]))
+                rows.append((total, gone, text if kept is None else kept.decode("utf-8", "surrogatepass"), digest))
             n, gone, kept, digest = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=schema.names)
 
