@@ -16,6 +16,7 @@ that alone passes a limit and may not be cut gets a sequence of its own, marked
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import PIECE_CHARS, segments
+
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 #: Examples that a task chooses among.
 WINDOW = 512
@@ -39,12 +42,32 @@ PARTS = re.compile("[^ \\t\\n\\r\\x0b\\x0c]+")
 ATOMS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+")
 
 
+#: The steps before the vocabulary for which a text's ids are those of its words in order.
+WORDWISE = {"normalizers": ["NFC", "Replace", "Lowercase"], "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def wordwise(path: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and parts words by WORDWISE."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    spaces = [s for s in steps if s.get("type") == "Replace"]
+    return (
+        [s.get("type") for s in steps] == WORDWISE["normalizers"]
+        and all(s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in spaces)
+        and split.get("type") == "Split" and split["pattern"] == {"Regex": WORDWISE["pattern"]} and split["behavior"] == "Removed" and split["invert"] is True
+        and [(s.get("type"), s.get("add_prefix_space"), s.get("use_regex")) for s in rest] == [("ByteLevel", False, False)]
+    )
+
+
 class Encoder:
     """A tokenizer with a bounded memory for words.
 
-    For vocabularies of lower-case words that drop white space, a text's ids are those of
-    its words in order. Texts in other scripts are parted at white space only, and their
-    parts encoded as they stand, as are texts that may hold a special token.
+    For tokenizers of the known kind (``wordwise``) a text's ids are those of its words in
+    order. Texts in other scripts are parted at white space only, and their parts encoded
+    as they stand, as are texts that may hold a special token. Any other tokenizer gets
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -52,9 +75,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = wordwise(path)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list) -> list[np.ndarray]:
+        """The ids of each text; a long one is taken apart where words end."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if max((len(t) for t in texts if t), default=0) <= PIECE_CHARS:
+            return self.encode_words(texts)
+        return [np.concatenate([self.encode_words([part.decode("utf-8")])[0] for part in segments(t.encode("utf-8"))]) if t else np.zeros(0, "<u4") for t in texts]
+
+    def encode_words(self, texts: list) -> list[np.ndarray]:
         words = [[] if not t else PARTS.findall(t) if OTHERS.search(t) or "<|" in t else ATOMS.findall(t.lower()) for t in texts]
         known = self.known
         missing = list({w for own in words for w in own if w not in known})
@@ -237,3 +269,19 @@ def pack_examples(examples: DataFrame, *, id_col: str, tokens_col: str, loss_col
     count = lambda c: F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0)).cast("long")
     read = examples.select(F.col(id_col).cast("long").alias("example_id"), count(tokens_col).alias("tokens"), F.least(count(tokens_col), count(loss_col)).alias("loss"))
     return read.mapInArrow(run, "example_id long, tokens long, loss_tokens long, oversized boolean, sequence_id long, offset long")
+
+
+def conversation_examples(turns: DataFrame, tokenizer: str, *, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
+    """(id, tokens, loss_tokens) of conversations: every turn has its text's tokens and an
+    end; those of the trained role's turns bear loss. A null text is an empty one."""
+
+    def run(batches):
+        encode = encoder(tokenizer).encode
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            counts = np.concatenate([np.zeros(0, np.int64)] + [[len(ids) + 1 for ids in encode(texts[k : k + 256])] for k in range(0, len(texts), 256)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], names=["id", "role", "n"])
+
+    read = turns.select(F.col(id_col).cast("long").alias("id"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    counted = read.mapInArrow(run, "id long, role string, n long")
+    return counted.groupBy("id").agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("role") == trained, F.col("n"))), F.lit(0)).alias("loss_tokens"))

@@ -13,7 +13,7 @@ from .html_extract import extract_main_text
 from .licenses import COPYRIGHT_LINE, KNOWN_NOTICES, KNOWN_TEXTS, PUNCTUATION, SPELLINGS, scan_licenses
 from .mixing import mix_sources
 from .near_dedup import BANDS, near_duplicates
-from .packing import pack_documents
+from .packing import conversation_examples, pack_documents, pack_examples
 from .quality_classifier import classify, held_out
 from .quality_rules import quality_rules
 from .substring_dedup import remove_repeats
@@ -58,6 +58,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs whole conversations, of which the assistant's turns bear loss, by op7's packer:
+    here the limits of segments and of loss bind too."""
+    examples = conversation_examples(table(spark, sf_dir, "conversations"), tokenizer_path())
+    return pack_examples(examples, id_col="id", tokens_col="tokens", loss_col="loss_tokens", max_segments=8, max_loss=1024)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8,
         "op9_warc": op9,
         "op10_html_extraction": op10,
+        "packing_of_conversations": conversations,
     }
 
 
