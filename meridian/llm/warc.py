@@ -12,7 +12,8 @@ A record's payload follows its HTTP header. Of records with equal payloads of at
 Defined results: a null payload is an empty one; payloads below ``least_bytes`` are never
 revisits; repeated rows are records each, all of them responses where their id is the
 largest; rows with a null id take part in no revisits. An empty table makes an
-archive without records.
+archive without records. A damaged or truncated record is an error, and so is a round
+trip that reads another number of records than it wrote.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import file_system
 from .common import Work
 
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, FIRST = b"\x1f\x8b\x08", b"WARC/"
 #: A range that one task scans, and how much it reads at a time.
 SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
 #: Compressed bytes given to the decoder at a time.
@@ -39,10 +40,6 @@ LOTS = 64
 FIXED_DATE = "2024-01-01T00:00:00Z"
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, which is the cluster's default one where it has none."""
     jvm = spark._jvm
@@ -71,8 +68,13 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, level: int = 4) -> list[str]:
-    """Writes one archive a task into ``folder``; the paths of those that were finished.
+def write_archives(pages: DataFrame, folder: str, **options) -> list[str]:
+    """Writes one archive a task into ``folder``; the paths of those that were finished."""
+    return [path for path, _ in written_archives(pages, folder, **options)]
+
+
+def written_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, level: int = 4) -> list[tuple[str, int]]:
+    """Writes one archive a task; (path, records) of those that were finished.
 
     A task writes under a name of its own attempt, so a lost or repeated task leaves files
     that nobody lists. The list has an entry for each task that wrote something.
@@ -102,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["path", "n"])
 
     done = owned.select("page_id", "url", "payload", "digest", "owner").mapInArrow(write, "path string, n long")
-    return [r.path for r in done.collect()]  # one row a task
+    return [(r.path, r.n) for r in done.collect()]  # one row a task
 
 
 class Ahead:
@@ -127,30 +129,44 @@ class Ahead:
         return self.data[self.pos + offset : self.pos + offset + FEED_BYTES]
 
 
+class BrokenRecord(ValueError):
+    """A member that begins like a record and cannot be read to its end."""
+
+
 def member(ahead: Ahead):
     """The member at the window's start: (its content, its compressed length), or None if
-    no whole gzip member with a WARC header starts there."""
-    gz, out, begun, fed = zlib.decompressobj(31), [], False, 0
+    none that begins with a WARC header starts there. What begins like a record must be
+    one: its header may have any length, but it must end, and so must the member."""
+    if not begins_record(ahead):
+        return None
+    gz, out, fed = zlib.decompressobj(31), [], 0
     try:
-        while not gz.eof:
-            piece = ahead.piece(fed)
-            if not piece:
-                return None
+        while not gz.eof and (piece := ahead.piece(fed)):
             out.append(gz.decompress(piece))
             fed += len(piece)
-            if not begun:
-                out = [b"".join(out)]
-                begun = len(out[0]) >= 5
-                if begun and not out[0].startswith(b"WARC/"):
-                    return None  # what begins like a record is read to its end, however long its header is
-    except zlib.error:
-        return None
+    except zlib.error as error:
+        raise BrokenRecord(f"damaged record at byte {ahead.at}: {error}") from error
     content = b"".join(out)
-    return (content, fed - len(gz.unused_data)) if content.startswith(b"WARC/") and b"\r\n\r\n" in content else None
+    if not gz.eof or b"\r\n\r\n" not in content:
+        raise BrokenRecord(f"truncated record at byte {ahead.at}")
+    return content, fed - len(gz.unused_data)
 
 
-def records_of(uri: str, start: int, end: int):
-    """(offset, content) of the records that start in the byte range."""
+def begins_record(ahead: Ahead) -> bool:
+    """Whether the first bytes decoded from the window's start are those of a record."""
+    gz, out, fed = zlib.decompressobj(31), b"", 0
+    try:
+        while len(out) < len(FIRST) and not gz.eof and (piece := ahead.piece(fed)):
+            out += gz.decompress(piece, len(FIRST) - len(out))
+            fed += len(piece)
+    except zlib.error:
+        return False
+    return out == FIRST
+
+
+def records_of(uri: str, start: int, end: int, broken: str = "raise"):
+    """(offset, content) of the records that start in the byte range; a broken one is an
+    error, or with ``broken`` "skip" left out."""
     system, path = file_system(uri)
     with system.open_input_file(path) as source:
         ahead = Ahead(source, start)
@@ -164,7 +180,12 @@ def records_of(uri: str, start: int, end: int):
             ahead.skip(k - ahead.pos)
             if ahead.at >= end:
                 return
-            found = member(ahead)
+            try:
+                found = member(ahead)
+            except BrokenRecord:
+                if broken != "skip":
+                    raise
+                found = None
             if found is None:
                 ahead.skip(1)
                 continue
@@ -187,8 +208,10 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
 READ = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())])
 
 
-def read_archives(spark: SparkSession, paths: list[str], *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the archives: record_id, record_type, url, refers_to, payload, path, offset."""
+def read_archives(spark: SparkSession, paths: list[str], *, split_bytes: int = SPLIT_BYTES, broken: str = "raise") -> DataFrame:
+    """All records of the archives: record_id, record_type, url, refers_to, payload, path, offset.
+
+    A record that is damaged or cut off fails the read; ``broken`` "skip" goes on behind it."""
 
     def sizes(batches):
         for batch in batches:
@@ -199,7 +222,7 @@ def read_archives(spark: SparkSession, paths: list[str], *, split_bytes: int = S
         rows, held = [], 0
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns)):
-                for offset, content in records_of(path, start, start + split_bytes):
+                for offset, content in records_of(path, start, start + split_bytes, broken):
                     fields, block = parsed(content)
                     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
                     rows.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-refers-to"), payload, path, offset))
@@ -225,11 +248,13 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     work = Work(spark, "warc")
     folder = qualified(spark, work.path("archives"))
-    paths = write_archives(pages, folder, id_col=id_col, url_col=url_col, payload_col=payload_col, least_bytes=least_bytes)
+    archives = written_archives(pages, folder, id_col=id_col, url_col=url_col, payload_col=payload_col, least_bytes=least_bytes)
     number = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit("^<urn:x-page:(-?[0-9]+)>$")), F.lit(1)).cast("long")
-    read = read_archives(spark, paths, split_bytes=split_bytes)
+    read = read_archives(spark, [path for path, _ in archives], split_bytes=split_bytes)
     facts = read.select(number(F.col("record_id")).alias("page_id"), "url", "record_type", number(F.col("refers_to")).alias("refers_to"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     facts = work.keep(facts, "facts")
+    if (found := facts.count()) != (wrote := sum(n for _, n in archives)):
+        raise BrokenRecord(f"{found} records read of {wrote} written")
     # Only responses large enough to be revisited can be meant; one for each id.
     revisited = facts.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct()
     owners = facts.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes)).join(revisited, "page_id", "left_semi")
