@@ -205,8 +205,10 @@ def bits(masks: np.ndarray, n: int) -> np.ndarray:
     return ((masks[:, None] >> np.arange(n, dtype=np.int64)) & 1).astype(np.float32)
 
 
-def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each node of all pages, and whether the node has text below and is judged."""
+def features(pages: list[Page]):
+    """A function that gives the rows of nodes a..b of all pages, and whether each node has
+    text below and is judged. Only a few numbers are held for each node; the wide rows are
+    made for as many nodes as are asked for."""
     sizes = np.array([len(p.tag) for p in pages])
     base = np.repeat(np.cumsum(sizes) - sizes, sizes)
     join = lambda name, kind=np.int64: np.array([x for p in pages for x in getattr(p, name)], kind)
@@ -251,22 +253,30 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         new = np.concatenate([[True], ~same])
         first = np.flatnonzero(new)
         rank[o] = np.arange(len(o)) - np.repeat(first, np.diff(np.concatenate([first, [len(o)]])))
-    dense = np.column_stack([
+    dense = [
         depth, log(chars), log(own[:, 0]), log(sub[:, 1]), sub[:, 3] / np.maximum(chars, 1), chars / inner, log(inner), sub[:, 2] / np.maximum(sub[:, 1], 1),
         chars / np.maximum(sub[:, 4], 1), chars / np.maximum(whole[:, 0], 1), before / np.maximum(whole[:, 0], 1), log(kids), log(kids[parent]), rank, size_at(prev), size_at(nxt),
         log(chars[parent]), chars / np.maximum(chars[parent], 1), sub[parent, 3] / np.maximum(chars[parent], 1), log(p_chars), log(p_chars[parent]), log(sub[:, 6]), log(sub[:, 5]), log(whole[:, 0]),
-    ]).astype(np.float32)
+    ]
     near = lambda mask, j: np.where(j >= 0, mask[j], 0)
     stems, above = join("stems"), join("above")
     below = np.zeros(n)  # article-like tokens below a container
     below = (lambda c: c[end] - c[idx] - (stems & GOOD != 0))(np.concatenate([[0], np.cumsum(stems & GOOD != 0)]))
     above_tags = join("above_tags")
-    roles = np.column_stack([np.bitwise_count(m).astype(np.float32) for m in (stems & GOOD, stems & ~GOOD, above & GOOD, above & ~GOOD, above_tags & ASIDE, tags & ASIDE)])
-    x = np.concatenate([dense, log(below)[:, None].astype(np.float32), roles, bits(tags, len(TAGS)), bits(above_tags, len(TAGS)), bits(stems, len(STEMS)), bits(above, len(STEMS)), bits(near(tags, prev), len(TAGS))[:, :7]], axis=1)
+    dense = [c.astype(np.float32) for c in (*dense, log(below))]
+    before_tags = near(tags, prev)
+
+    def rows(a: int, b: int) -> np.ndarray:
+        s, u, t, v = stems[a:b], above[a:b], tags[a:b], above_tags[a:b]
+        roles = [np.bitwise_count(m).astype(np.float32) for m in (s & GOOD, s & ~GOOD, u & GOOD, u & ~GOOD, v & ASIDE, t & ASIDE)]
+        return np.concatenate([np.column_stack([*(c[a:b] for c in dense), *roles]), bits(t, len(TAGS)), bits(v, len(TAGS)), bits(s, len(STEMS)), bits(u, len(STEMS)), bits(before_tags[a:b], 7)], axis=1)
+
     # Inline elements that say nothing of their role go with what they stand in.
-    return x, (chars > 0) & ((blocks > 0) | (stems != 0))
+    return rows, (chars > 0) & ((blocks > 0) | (stems != 0))
 
 
+#: Nodes whose wide rows are held at a time (some 900 bytes each).
+NODES_AT_ONCE = 50_000
 GOOD = sum(1 << STEMS.index(s) for s in ("article", "post", "entry", "story", "content", "text", "main"))
 ASIDE = sum(TAG_BIT[t] for t in ("nav", "header", "footer", "aside", "form", "dialog", "ins"))
 
@@ -338,7 +348,8 @@ def trained(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> Boosted:
     """The model, trained once a process on made pages."""
     if (pages, seed) not in _models:
         parsed = [Page(s) for s in labelled_pages(pages, seed)]
-        x, has = features(parsed)
+        rows, has = features(parsed)
+        x = rows(0, len(has))
         truth = []
         for p in parsed:
             good, bad = np.zeros(len(p.tag) + 1), np.zeros(len(p.tag) + 1)
@@ -393,10 +404,12 @@ def extract(sources: list, model: Boosted) -> list[str]:
     pages = [Page(s or "") for s in sources]
     if not pages:
         return []
-    x, has = features(pages)
-    logits = np.zeros(len(x))
-    if has.any():
-        logits[has] = model.logits(x[has])
+    rows, has = features(pages)
+    logits = np.zeros(len(has))
+    for a in range(0, len(has), NODES_AT_ONCE):
+        some = has[a : a + NODES_AT_ONCE]
+        if some.any():
+            logits[a : a + NODES_AT_ONCE][some] = model.logits(rows(a, a + len(some))[some])
     out, at = [], 0
     for p in pages:
         n = len(p.tag)
