@@ -18,6 +18,7 @@ one document the mean counts, 1 on a tie; null labels or ids don't train.
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
@@ -28,17 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import REMEMBERED_WORDS, pieces, spread
+from .common import REMEMBERED_WORDS, pieces, segments, spread
 
 #: Hashed rows of the word table (a power of two), the vectors' length and the entries
 #: of an index vector that are not zero; neighbours up to REACH tokens away count.
 ROWS, DIM, ENTRIES, REACH = 1 << 14, 32, 4, 2
 #: Rows of the table that one record carries between tasks.
 CHUNK = 1024
-FANIN = 32
 #: Rows that attributes of words have for themselves.
 UPPER, TITLE, REPEAT, DIGIT = 0, 1, 2, 3
 OWN_ROWS = 4
+#: A document's inputs: mean and scatter of its vectors, shares of the own rows, neighbours'
+#: likeness, length.
+WIDTH = 2 * DIM + OWN_ROWS + 2
+#: Tokens whose vectors are held at a time (some 500 bytes each, copies included).
+TOKENS_AT_ONCE = 500_000
 MAX_LABELS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
 
@@ -74,10 +79,17 @@ class TokenRows(dict):
 
 
 def token_rows(texts: list, known: TokenRows) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' rows one after the other, and how many each text has."""
-    each = [list(chain.from_iterable(map(known.__getitem__, t.encode("utf-8", "replace").split()))) if t else [] for t in texts]
-    counts = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-    flat = np.fromiter(chain.from_iterable(each), dtype=np.int32, count=int(counts.sum()))
+    """All texts' rows one after the other, and how many each text has. Texts of any length
+    are taken apart in segments, so only row numbers are held of all tokens."""
+    parts, counts = [], []
+    for t in texts:
+        n = 0
+        for part in segments(t.encode("utf-8", "replace")) if t else ():
+            rows = list(chain.from_iterable(map(known.__getitem__, part.split())))
+            parts.append(np.array(rows, np.int32))
+            n += len(rows)
+        counts.append(n)
+    flat, counts = np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(counts, np.int64)
     same = np.concatenate([[False], flat[1:] == flat[:-1]])[: len(flat)]
     starts = np.cumsum(counts) - counts
     same[starts[counts > 0]] = False  # a text's first token repeats nothing
@@ -132,9 +144,11 @@ def word_table(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Unit word vectors and the weight of each row, from all texts."""
     kind = "chunk int, salt int, sums binary"
     part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(context_sums, kind)
-    # Two levels: no task adds up more than a share of the tasks' records for a chunk.
+    # Two levels: of t tasks' records for a chunk no task adds up more than about sqrt(t),
+    # as there are about as many tasks as shuffle partitions on a cluster that is set up for the input.
     n = spread(docs.sparkSession)
-    part = part.repartition(n, "chunk", F.col("salt") % FANIN).mapInArrow(added, kind)
+    fan = max(8, math.isqrt(n))
+    part = part.repartition(n, "chunk", F.col("salt") % fan).mapInArrow(added, kind)
     part = part.repartition(n, "chunk").mapInArrow(added, kind)
     total = np.zeros((ROWS, DIM + 1))
     for row in part.collect():  # ROWS / CHUNK records
@@ -150,19 +164,26 @@ def document_vectors(texts: list, known: TokenRows, vectors: np.ndarray, weights
     """For each text the weighted mean and scatter of its rows' vectors, how often its own
     attribute rows occur, how alike neighbours are, and the logarithm of its length."""
     flat, counts = token_rows(texts, known)
-    out = np.zeros((len(texts), 2 * DIM + OWN_ROWS + 2), np.float32)
+    out = np.zeros((len(texts), WIDTH), np.float32)
     full = counts > 0
     if not full.any():
         return out
-    at = (np.cumsum(counts) - counts)[full]
-    w, v = weights[flat][:, None], vectors[flat]
-    mass = np.add.reduceat(w, at)
-    mean = np.add.reduceat(v * w, at) / mass
-    square = np.add.reduceat(v * v * w, at) / mass
-    own = np.stack([np.add.reduceat(flat == r, at, dtype=np.float32) for r in range(OWN_ROWS)], axis=1) / counts[full][:, None]
-    alike = np.concatenate([np.einsum("ij,ij->i", v[1:], v[:-1]), [0]])
-    alike[(np.cumsum(counts) - 1)[full]] = 0  # a text's last token has no next one
-    out[full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), own, (np.add.reduceat(alike, at) / counts[full])[:, None], np.log1p(counts[full])[:, None]], axis=1)
+    owner = np.repeat(np.arange(int(full.sum())), counts[full])
+    sums = np.zeros((int(full.sum()), 2 + 2 * DIM + OWN_ROWS))  # mass, likeness, own rows, vectors, squares
+    for a in range(0, len(flat), TOKENS_AT_ONCE):
+        rows, doc = flat[a : a + TOKENS_AT_ONCE], owner[a : a + TOKENS_AT_ONCE]
+        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        after = np.append(rows[1:], flat[a + len(rows) : a + len(rows) + 1])  # a token's next one, in its text
+        alike = np.zeros(len(rows), np.float32)
+        next_own = owner[a + 1 : a + 1 + len(rows)]
+        same = np.flatnonzero(doc[: len(next_own)] == next_own)
+        w, v = weights[rows][:, None], vectors[rows]
+        alike[same] = np.einsum("ij,ij->i", vectors[after[same]], v[same])
+        each = [w, alike[:, None], *((rows == r).astype(np.float32)[:, None] for r in range(OWN_ROWS)), v * w, v * v * w]
+        sums[doc[at]] += np.concatenate([np.add.reduceat(x, at) for x in each], axis=1)
+    mass, n = sums[:, :1], counts[full][:, None]
+    mean, square = sums[:, 2 + OWN_ROWS : 2 + OWN_ROWS + DIM] / mass, sums[:, 2 + OWN_ROWS + DIM :] / mass
+    out[full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), sums[:, 2 : 2 + OWN_ROWS] / n, sums[:, 1:2] / n, np.log1p(n)], axis=1)
     return out
 
 
@@ -199,7 +220,7 @@ class Network:
             if loss < best[0]:
                 best = (loss, [a.copy() for a in self.p])
         self.p = best[1]
-        # The temperature by golden steps on its logarithm, on rows that did not train.
+        # The temperature: the best of 121 on a logarithmic scale, on rows that did not train.
         logit = self.logits(x[held])
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 121))
         self.temperature = float(grid[np.argmin([self.loss(logit, y[held], t) for t in grid])])
@@ -245,7 +266,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     # At most max_labels ids, 16 bytes each: small enough to send everywhere.
     sample = rest.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "label_id").dropDuplicates(["label_id"]).select("y", "text").mapInArrow(features, "y int, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + OWN_ROWS + 2).astype(float)
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(float)
     y = np.array(sample.column("y").to_pylist(), float)
     order = np.lexsort((*x.T[::-1], y)) if len(y) else []
     network = Network(x[order], y[order]) if len(y) else Network(x, y)
