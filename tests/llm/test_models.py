@@ -152,15 +152,64 @@ def test_recall_of_nearest(spark, scale):
 
 
 def test_search_stops_early():
+    """The test leaves out most of what is far, and less than half of what has no contrast."""
     rng = np.random.default_rng(5)
-    v = np.concatenate([rng.normal(c, 0.05, (500, 6)) for c in (-3, 0, 3, 6)])
+    v = np.concatenate([rng.normal(c, 0.05, (500, 16)) for c in (-3, 0, 3, 6)])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    shard = ann.Shard(np.arange(len(v)), v, 1.0, 20, 0.95)
-    near = shard.tree.leaf_distances(np.append(v[0], 0.0) @ shard.matrix)
-    assert len(shard.search(0, v[0])) == 20 and near.max() > 0
+    assert ann.searched_share(v, v[::50]) < 0.5
+    centres = rng.normal(size=(200, 32))
+    clumps = (centres[np.arange(6000) % 200] + 0.1 * rng.normal(size=(6000, 32))).astype(np.float32)
+    clumps /= np.linalg.norm(clumps, axis=1, keepdims=True)
+    assert ann.searched_share(clumps, clumps[::100]) < 0.03
+    plain = rng.normal(size=(20_000, 64)).astype(np.float32)
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    assert ann.searched_share(plain, plain[::400]) < 0.5
     assert ann.chi_square_bound(8, 0.95) == pytest.approx(15.507, abs=1e-3)
 
 
+def test_cells_hold_their_places():
+    rng = np.random.default_rng(6)
+    places = rng.normal(size=(3000, ann.DIMS))
+    places[:40] = places[0]
+    cells = ann.Cells(places[::3], 12)
+    at = cells.of(places)
+    assert 8 <= cells.n <= 24 and set(at.tolist()) == set(range(cells.n))
+    assert all((places >= cells.low[at]).all(axis=1)) and all((places <= cells.high[at]).all(axis=1))
+    assert ann.Cells(places[:5], 12).n == 1 and ann.Cells(places[:0], 12).n == 1
+
+
+def test_many_cells_and_a_very_common_vector(spark, monkeypatch):
+    """A third of all rows are one vector; queries go only to cells that the test leaves."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16))
+    v = (centres[rng.integers(0, 30, 3000)] + 0.15 * rng.normal(size=(3000, 16))).astype(np.float32)
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    going = []
+    asked = ann.asked
+
+    def counted(cells, *rest):
+        going.append(cells.n)
+        return asked(cells, *rest)
+
+    monkeypatch.setattr(ann, "asked", counted)
+    got = ann.nearest(df, lambda c: c % 60 == 1, shard_rows=150).orderBy("query_id", "rank").collect()
+    assert going[0] > 8
+    hits = 0
+    for q, ids, _ in brute_nearest(list(range(3000)), v, 20, lambda x: x % 60 == 1):
+        own = [r.vec_id for r in got if r.query_id == q]
+        assert len(own) == len(set(own)) == 20
+        hits += len(set(own) & set(ids))
+    assert hits / (50 * 20) >= 0.95
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (1, [0.0, 5.0]), (2, [2.0, 0.1])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: c % 20 == 0).collect()
+    # The query asks with [0, 1], which sorts first; the other rows of its own id are no candidates.
+    assert sorted((r.rank, r.vec_id, round(r.score, 6)) for r in got) == [(1, 1, 5.0), (2, 2, 0.1)]
+
+
 def test_ties_repeats_and_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(60, [0.0, 0.0]), (61, None), (62, [nan, 1.0]), (63, [inf, 1.0]), (64, [None, 1.0]), (65, [1.0]), (66, [2.0, 1.0]), (None, [9.0, 9.0]), (5, [1.0, 0.0])]
