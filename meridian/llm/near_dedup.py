@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Exact copies join their class through the set's digest and are never paired. Buckets
     with the same members count once. A bucket's members are first compared with its
     smallest one, which puts most of a group into one class. What is then still open, the
-    documents outside the largest class of their bucket, is compared with all of the
-    bucket whose set sizes allow a link, on a grid of blocks: both sides of a cell are
-    bounded, so a bucket of any size is spread over tasks, and no pair is a row. The rule
-    is the same at every size: a link is found if and only if both documents share a
-    bucket. A bucket's cost is its open documents times its documents; a copy of each
-    open document goes to each of its blocks.
+    documents outside the largest class of a bucket of theirs, is compared with all of that
+    class (once, however many buckets they share) and with the bucket's other open
+    documents, where set sizes allow a link. That happens on a grid of blocks: both sides
+    of a cell are bounded, so a class of any size is spread over tasks, and no pair is a
+    row. The rule is the same at every size: a link is found if both documents share a
+    bucket. The cost is that of open documents times the classes and buckets they meet; a
+    copy of each open document goes to each block of those.
     """
     spark = docs.sparkSession
     work = Work(spark, "near-dedup")
@@ -221,22 +222,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_class = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
     mains = work.keep(of_class.groupBy("key").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main"), "mains")
     # Written, so that a bucket with a third of all documents can be split when it meets its row.
-    placed = work.keep(named.join(mains, "key"), "placed")
+    open_ = work.keep(named.join(mains, "key").where("class <> main"), "open")
+    # Open documents meet a bucket's main class once, in however many buckets they met it.
+    one = open_.select(F.lit(0).alias("kind"), F.col("main").alias("unit"), "rep", "class", "n", "bin").distinct()
+    mains_of = one.select(F.col("unit").alias("class")).distinct()
+    held = named.select("rep", "class", "n", "bin").distinct().join(mains_of, "class").select(F.lit(0).alias("kind"), F.col("class").alias("unit"), "rep", "class", "n", "bin")
+    # And one another in each bucket; buckets with the same open documents count once.
+    sets = open_.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("low"), F.max("class").alias("high"), *marks).where("low <> high")
+    sets = sets.groupBy("c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
+    other = open_.join(sets, "key").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "rep", "class", "n", "bin")
+    asking, asked = work.keep(one.unionByName(other), "asking"), work.keep(held.unionByName(other), "asked")
     near = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")
-    open_ = placed.where("class <> main").select("key", near, "rep", "class", "n")
+    asking = asking.select("kind", "unit", near, "rep", "class", "n")
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int")
-    units = placed.groupBy("key", "bin").agg(blocks.alias("blocks")).join(open_.groupBy("key", "bin").agg(blocks.alias("open_blocks")), ["key", "bin"])
-    units = work.keep(units, "units")
+    unit = ["kind", "unit", "bin"]
+    units = work.keep(asked.groupBy(*unit).agg(blocks.alias("blocks")).join(asking.groupBy(*unit).agg(blocks.alias("open_blocks")), unit), "units")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    others = placed.join(units, ["key", "bin"]).select("key", "bin", F.explode(span("open_blocks")).alias("i"), own("blocks").alias("j"), F.lit(False).alias("is_open"), "rep", "class")
-    open_ = open_.join(units, ["key", "bin"]).select("key", "bin", own("open_blocks").alias("i"), F.explode(span("blocks")).alias("j"), F.lit(True).alias("is_open"), "rep", "class")
-    cells = open_.unionByName(others).join(texts.withColumnRenamed("doc", "rep"), "rep").select("key", "bin", "i", "j", "is_open", "rep", "class", "words")
-    dealt = cells.repartition(spread(spark), "key", "bin", "i", "j").sortWithinPartitions("key", "bin", "i", "j", F.desc("is_open"))
+    others = asked.join(units, unit).select(*unit, F.explode(span("open_blocks")).alias("i"), own("blocks").alias("j"), F.lit(False).alias("is_open"), "rep", "class")
+    those = asking.join(units, unit).select(*unit, own("open_blocks").alias("i"), F.explode(span("blocks")).alias("j"), F.lit(True).alias("is_open"), "rep", "class")
+    cells = those.unionByName(others).join(texts.withColumnRenamed("doc", "rep"), "rep").select(*unit, "i", "j", "is_open", "rep", "class", "words")
+    dealt = cells.repartition(spread(spark), *unit, "i", "j").sortWithinPartitions(*unit, "i", "j", F.desc("is_open"))
     more = work.keep(dealt.mapInArrow(grid_links(percent), "a long, b long"), "links")
     if more.head(1):
         classes = work.keep(components(links.unionByName(more), work), "classes")
-    work.drop(texts, members, links, more, named, mains, placed, units)
+    work.drop(texts, members, links, more, named, mains, open_, asked, units)
     by_set = reps.select("d1", "d2", "rep").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = sketch.join(by_set, ["d1", "d2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc"))).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
