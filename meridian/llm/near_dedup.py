@@ -203,10 +203,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Exact copies: one representative for each set.
     reps = work.keep(sketch.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.min("bands").alias("bands"), F.max("n").alias("n")), "representatives")
     each = reps.select("rep", "n", F.explode("bands").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre")).where("c > 1")
+    # The same join at every size: the buckets that several share grow with the input.
+    members = work.keep(each.join(shared.hint("merge"), "key"), "all-buckets")
+    # Of buckets with the same members one counts; members are told by two combined hashes.
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"m{i}") for i in (0, 1)]
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("centre"), *marks).where("c > 1")
-    shared = shared.groupBy("c", "centre", "m0", "m1").agg(F.min("key").alias("key")).select("key", "centre")
-    members = work.keep(each.join(shared, "key"), "buckets")
+    different = members.groupBy("key", "centre", "c").agg(*marks).groupBy("centre", "c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
+    members = work.keep(members.join(different, "key").select("key", "rep", "n", "centre", "c"), "buckets")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
     texts = work.keep(read.where("doc is not null").join(wanted, "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
 
@@ -217,9 +220,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Sets whose sizes lie more than one bin apart differ too much in size to link.
     size_bin = F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / percent) * (1 + 1e-9), 1e-6)).cast("int")
-    named = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", size_bin.alias("bin"), F.coalesce("root", "rep").alias("class"))
+    named = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "c", "rep", "n", size_bin.alias("bin"), F.coalesce("root", "rep").alias("class"))
     named = work.keep(named, "named")
-    of_class = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
+    # In a bucket of two the only pair has been compared.
+    of_class = named.where("c > 2").groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
     mains = work.keep(of_class.groupBy("key").agg(F.max_by("class", F.struct("c", -F.col("class"))).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main"), "mains")
     # Written, so that a bucket with a third of all documents can be split when it meets its row.
     open_ = work.keep(named.join(mains, "key").where("class <> main"), "open")
