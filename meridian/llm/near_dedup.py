@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     different = members.groupBy("key", "centre", "c").agg(*marks).groupBy("centre", "c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     members = work.keep(members.join(different, "key").select("key", "rep", "n", "centre", "c"), "buckets")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
-    texts = work.keep(read.where("doc is not null").join(wanted, "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
+    texts = work.keep(read.where("doc is not null").join(wanted.hint("merge"), "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
 
     pairs = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     a, b = (texts.select(F.col("doc").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
