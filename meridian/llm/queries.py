@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .html_extract import extract_main_text
-from .licenses import COPYRIGHT_LINE, KNOWN_NOTICES, KNOWN_TEXTS, PUNCTUATION, SPELLINGS, scan_licenses
+from .licenses import COPYRIGHT_LINE, KNOWN_NOTICES, KNOWN_TEXTS, PUNCTUATION, SPELLINGS, full_texts, scan_licenses
 from .mixing import mix_sources
 from .near_dedup import BANDS, near_duplicates
 from .packing import conversation_examples, pack_documents, pack_examples
@@ -96,6 +98,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
+def long_digests() -> list[tuple[str, str]]:
+    """(id, digest) of the long licences, by the rules of the canonical form in plain Python."""
+    out = []
+    for name, text in full_texts():
+        plain = re.sub("[^a-z0-9\n\x80-\U0010ffff]+", " ", text.lower())
+        for other, usual in SPELLINGS:
+            plain = plain.replace(other, usual)
+        lines = [x for x in (line.strip(" ") for line in plain.split("\n")) if x and not re.search(COPYRIGHT_LINE, x)]
+        out.append((name, hashlib.sha256(" ".join(lines).encode()).hexdigest()))
+    return sorted(set(out))
+
+
 def oracle_sql() -> dict[str, str]:
     words = WORDS.format(text="coalesce(text, '')")
     lower = WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -115,7 +129,7 @@ whole AS (SELECT doc_id, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(li
 hits AS (SELECT doc_id, id FROM (SELECT doc_id, unnest(lines) AS line FROM l) JOIN {known(KNOWN_NOTICES)} k ON sha256(line) = k.d),
 found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits GROUP BY 1)
 SELECT whole.doc_id, digest, k.id AS license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(ids, '') AS notice_ids
-FROM whole LEFT JOIN {known(KNOWN_TEXTS)} k ON digest = k.d LEFT JOIN found USING (doc_id)""",
+FROM whole LEFT JOIN (SELECT d, min(id) AS id FROM (SELECT * FROM {known(KNOWN_TEXTS)} UNION ALL SELECT * FROM (VALUES {', '.join(f"('{d}', '{i}')" for i, d in long_digests())}) v(d, id)) GROUP BY 1) k ON digest = k.d LEFT JOIN found USING (doc_id)""",
         "op8_quality_rules": f"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {words} AS w FROM documents),
 tri AS (SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
@@ -136,6 +150,13 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 o AS (SELECT d, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY 1)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN owner IS NOT NULL AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to
 FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 1000""",
+        # The tables' pages mark their article by an element of that name, which holds nothing
+        # else; the operator never looks at that rule.
+        "op10_html_extraction": r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<br>', ' ') AS inner_html FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(inner_html, '</?(p|h1)>'), lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
         "op5_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {lower} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),

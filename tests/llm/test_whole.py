@@ -66,6 +66,11 @@ def license_ids(spark, texts):
     return [got[i] for i in range(len(texts))]
 
 
+def test_the_sql_knows_the_long_licences(spark):
+    from meridian.llm.queries import long_digests
+    assert {r.digest for r in lic.known(spark, lic.full_texts()).collect()} == {d for _, d in long_digests()}
+
+
 def test_whole_texts_of_long_licences(spark):
     names, texts = zip(*dict(reversed(lic.full_texts())).items())
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"} <= set(names)
