@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Work
+from .common import Work, tidy
 
 DIMS, LEAF = 32, 64
 #: The probability with which the stopping test must hold; rows and bytes of a shard's
@@ -326,7 +326,7 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
 
     def found_at(queries: DataFrame) -> DataFrame:
         dealt = data.unionByName(queries).repartitionById(total, "shard").sortWithinPartitions("shard", "kind")
-        return dealt.mapInArrow(searched(k, sure, project), "query_id long, vec_id long, score double")
+        return dealt.mapInArrow(tidy(searched(k, sure, project)), "query_id long, vec_id long, score double")
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ask = lambda q, home: q.select("vec_id", "v", "known").mapInArrow(asked(cells, project, parts, chi_square_bound(DIMS, sure), home), stream)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import uuid
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,24 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def tidy(run):
+    """A function on batches that gives its memory back to the machine when it is done, as
+    Python workers stay for other tasks."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
     x = (x ^ (x >> np.uint64(32))) * M1

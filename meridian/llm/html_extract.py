@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, tidy
 from .html_pages import MARK, labelled_pages
 
 # Element names of HTML.
@@ -430,4 +430,4 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return read.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return read.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, M3, Work, WordHashes, components, hashed_words, mix, pieces, spread
+from .common import M1, M2, M3, Work, WordHashes, components, hashed_words, mix, pieces, spread, tidy
 
 #: Values in a band (half of them minima, half maxima) and bands: a pair at 0.85 is missed
 #: with probability (1 - 0.85^8)^48 = 2e-7, at 0.8 with 1e-4 (64 bands: 7e-6).
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     work = Work(spark, "near-dedup")
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sketch = work.keep(read.mapInArrow(sketches(width, rows, bands), "doc long, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    sketch = work.keep(read.mapInArrow(tidy(sketches(width, rows, bands)), "doc long, n long, d1 long, d2 long, bands array<long>"), "sketches")
 
     # Exact copies: one representative for each set.
     reps = work.keep(sketch.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.min("bands").alias("bands"), F.max("n").alias("n")), "representatives")
@@ -211,11 +211,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     different = members.groupBy("key", "centre", "c").agg(*marks).groupBy("centre", "c", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     members = work.keep(members.join(different, "key").select("key", "rep", "n", "centre", "c"), "buckets")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
-    texts = work.keep(read.where("doc is not null").join(wanted.hint("merge"), "doc").mapInArrow(packed_sets(width), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
+    texts = work.keep(read.where("doc is not null").join(wanted.hint("merge"), "doc").mapInArrow(tidy(packed_sets(width)), "doc long, words binary").where("length(words) > 0").dropDuplicates(["doc"]), "sets")
 
     pairs = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     a, b = (texts.select(F.col("doc").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-    links = work.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b").mapInArrow(confirmed(percent), "a long, b long"), "links")
+    links = work.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b").mapInArrow(tidy(confirmed(percent)), "a long, b long"), "links")
     classes = work.keep(components(links, work), "classes")
 
     # Sets whose sizes lie more than one bin apart differ too much in size to link.
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     those = asking.join(units, unit).select(*unit, own("open_blocks").alias("i"), F.explode(span("blocks")).alias("j"), F.lit(True).alias("is_open"), "rep", "class")
     cells = those.unionByName(others).join(texts.withColumnRenamed("doc", "rep"), "rep").select(*unit, "i", "j", "is_open", "rep", "class", "words")
     dealt = cells.repartition(spread(spark), *unit, "i", "j").sortWithinPartitions(*unit, "i", "j", F.desc("is_open"))
-    more = work.keep(dealt.mapInArrow(grid_links(percent), "a long, b long"), "links")
+    more = work.keep(dealt.mapInArrow(tidy(grid_links(percent)), "a long, b long"), "links")
     if more.head(1):
         classes = work.keep(components(links.unionByName(more), work), "classes")
     work.drop(texts, members, links, more, named, mains, open_, asked, units)

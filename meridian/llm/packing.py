@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_CHARS, segments
+from .common import PIECE_CHARS, segments, tidy
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 #: Examples that a task chooses among.
@@ -240,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         yield from numbered(sequences(), PIECES, lambda x: (x.doc, x.start, x.tokens, zlib.crc32(x.ids.tobytes()), x.total))
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return read.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_examples(examples: DataFrame, *, id_col: str, tokens_col: str, loss_col: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, window: int = 4 * WINDOW) -> DataFrame:

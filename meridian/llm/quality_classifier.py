@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import REMEMBERED_WORDS, pieces, segments, spread
+from .common import REMEMBERED_WORDS, pieces, segments, spread, tidy
 
 #: Hashed rows of the word table (a power of two), the vectors' length and the entries
 #: of an index vector that are not zero; neighbours up to REACH tokens away count.
@@ -43,7 +43,7 @@ OWN_ROWS = 4
 #: likeness, length.
 WIDTH = 2 * DIM + OWN_ROWS + 2
 #: Tokens whose vectors are held at a time (some 500 bytes each, copies included).
-TOKENS_AT_ONCE = 500_000
+TOKENS_AT_ONCE = 65_536
 MAX_LABELS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
 
@@ -143,13 +143,13 @@ def added(batches):
 def word_table(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Unit word vectors and the weight of each row, from all texts."""
     kind = "chunk int, salt int, sums binary"
-    part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(context_sums, kind)
+    part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(context_sums), kind)
     # Two levels: of t tasks' records for a chunk no task adds up more than about sqrt(t),
     # as there are about as many tasks as shuffle partitions on a cluster that is set up for the input.
     n = spread(docs.sparkSession)
     fan = max(8, math.isqrt(n))
-    part = part.repartition(n, "chunk", F.col("salt") % fan).mapInArrow(added, kind)
-    part = part.repartition(n, "chunk").mapInArrow(added, kind)
+    part = part.repartition(n, "chunk", F.col("salt") % fan).mapInArrow(tidy(added), kind)
+    part = part.repartition(n, "chunk").mapInArrow(tidy(added), kind)
     total = np.zeros((ROWS, DIM + 1))
     for row in part.collect():  # ROWS / CHUNK records
         total[row.chunk : row.chunk + CHUNK] += np.frombuffer(bytes(row.sums)).reshape(CHUNK, DIM + 1)
@@ -265,7 +265,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
     # At most max_labels ids, 16 bytes each: small enough to send everywhere.
-    sample = rest.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "label_id").dropDuplicates(["label_id"]).select("y", "text").mapInArrow(features, "y int, x binary").toArrow()
+    sample = rest.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "label_id").dropDuplicates(["label_id"]).select("y", "text").mapInArrow(tidy(features), "y int, x binary").toArrow()
     x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(float)
     y = np.array(sample.column("y").to_pylist(), float)
     order = np.lexsort((*x.T[::-1], y)) if len(y) else []
@@ -282,4 +282,4 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
 
     schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rest.mapInArrow(score, schema)
+    return rest.mapInArrow(tidy(score), schema)

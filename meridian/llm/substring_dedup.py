@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import scratch
-from .common import WordHashes, hashed_words, mix, pieces, segments, spread
+from .common import WordHashes, hashed_words, mix, pieces, segments, spread, tidy
 
 GRAM = 8
 BASE = 0x9E3779B97F4A7C1D | 5
@@ -274,17 +274,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     # One pass gives the size of all texts and the sample's minimizers.
     picked = F.when(F.pmod(F.xxhash64(F.lit("sample"), "doc"), F.lit(SAMPLED)) == 0, F.col("text")).alias("text")
-    counts = read.select(picked, F.octet_length("text").cast("long").alias("n")).mapInArrow(drawn(width), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    counts = read.select(picked, F.octet_length("text").cast("long").alias("n")).mapInArrow(tidy(drawn(width)), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
     counts = scratch(counts.where(F.col("least").isNull() | (F.col("n") > FEW)), "minimizers")
     chars = counts.where("least is null").agg(F.sum("n")).first()[0] or 0
     # About 32 MB of text, and so 48 MB of hashes, for each task that counts.
     parts = max(spread(spark), chars // 32_000_000)
     buckets = max(4 * parts, chars // 6 // words_a_bucket + 1)
     hot = hot_minimizers(counts, width, chars / 6 / buckets)
-    runs = read.mapInArrow(windows(width, buckets, hot), "bucket int, hashes binary, docs binary, starts binary, lengths binary")
+    runs = read.mapInArrow(tidy(windows(width, buckets, hot)), "bucket int, hashes binary, docs binary, starts binary, lengths binary")
     # Cuts settled within a batch are dealt out by what they hold, buckets by their number.
     dealt = runs.repartition(parts, F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("docs", "starts"))).sortWithinPartitions("bucket")
-    cuts = dealt.mapInArrow(counted(width), "doc long, cut_from int, cut_to int")
+    cuts = dealt.mapInArrow(tidy(counted(width)), "doc long, cut_from int, cut_to int")
     merged = cuts.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("cut_from", "cut_to"))).alias("__cuts"))
     joined = rest.join(merged, rest[id_col].cast("long") == merged["doc"], "left").drop(merged["doc"])
     schema = T.StructType(rest.schema.fields + added.fields)
@@ -301,4 +301,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             n, gone, kept, digest = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(tidy(apply), schema)
