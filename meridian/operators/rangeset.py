@@ -64,24 +64,32 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     return started.withColumn("g", F.sum("new").over(upto)).groupBy("value", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi", "value")
 
 
+#: Blocks of a level hold so many bits more of a key than those of the level before.
+BITS, LEVELS = 4, 16
+
+
 def covered(ranges: DataFrame) -> DataFrame:
-    """The ranges with (level, cell), a row for each power-of-two block of keys that they
-    are made of: cell c of level n holds the keys from c * 2^n on. However wide a range is,
-    it has at most two blocks a level, 126 in all."""
-    start = "named_struct('a', CAST(lo AS BIGINT), 'b', CAST(hi AS BIGINT), 'cells', CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>))"
-    first, last = "(s.a < s.b AND (s.a & 1) = 1)", "(s.a + CASE WHEN s.a < s.b THEN s.a & 1 ELSE 0 END < s.b AND (s.b & 1) = 1)"
-    block = lambda when, cell: f"CASE WHEN {when} THEN array(named_struct('level', n, 'cell', {cell})) ELSE CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>) END"
-    step = f"named_struct('a', shiftright(CASE WHEN {first} THEN s.a + 1 ELSE s.a END, 1), 'b', shiftright(CASE WHEN {last} THEN s.b - 1 ELSE s.b END, 1), 'cells', concat(s.cells, {block(first, 's.a')}, {block(last, 's.b - 1')}))"
-    return ranges.where("lo < hi").withColumn("c", F.explode(F.expr(f"aggregate(sequence(0, 63), {start}, (s, n) -> {step}, s -> s.cells)"))).select(*ranges.columns, "c.level", "c.cell")
+    """The ranges with (level, cell), a row for each block of keys that they are made of:
+    cell c of level n holds the 16^n keys from c * 16^n on. However wide a range is, it
+    has at most 30 blocks a level, 480 in all."""
+    none = "CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>)"
+    start = f"named_struct('a', CAST(lo AS BIGINT), 'b', CAST(hi AS BIGINT), 'cells', {none})"
+    up, down = f"(shiftright(s.a, {BITS}) + IF((s.a & 15) = 0, 0L, 1L))", f"shiftright(s.b, {BITS})"
+    run = lambda first, last: f"IF({first} < {last}, transform(sequence({first}, {last} - 1L), c -> named_struct('level', n, 'cell', c)), {none})"
+    # What is left of the next level's first whole block, and right of its last, is of this level.
+    split = f"named_struct('a', {up}, 'b', {down}, 'cells', concat(s.cells, {run('s.a', f'{up} * 16L')}, {run(f'{down} * 16L', 's.b')}))"
+    ended = f"named_struct('a', 0L, 'b', 0L, 'cells', concat(s.cells, {run('s.a', 's.b')}))"
+    step = f"CASE WHEN s.a >= s.b THEN s WHEN {up} >= {down} THEN {ended} ELSE {split} END"
+    return ranges.where("lo < hi").withColumn("c", F.explode(F.expr(f"aggregate(sequence(0, {LEVELS - 1}), {start}, (s, n) -> {step}, s -> s.cells)"))).select(*ranges.columns, "c.level", "c.cell")
 
 
 def holding(ranges: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The keys' rows joined with each range that holds the key: an equi-join on blocks, in
     which every match is a result. A key looks only at levels that some range has."""
     cells = scratch(covered(ranges), "blocks")
-    levels = [r.level for r in cells.select("level").distinct().collect()]  # at most 64
+    levels = [r.level for r in cells.select("level").distinct().collect()]  # at most LEVELS
     asked = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    return asked.withColumn("cell", F.expr(f"shiftright(`{key}`, level)")).join(cells, ["level", "cell"]).drop("level", "cell")
+    return asked.withColumn("cell", F.expr(f"shiftright(`{key}`, level * {BITS})")).join(cells, ["level", "cell"]).drop("level", "cell")
 
 
 def get(ranges: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
