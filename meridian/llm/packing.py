@@ -87,16 +87,42 @@ class Encoder:
         return [np.concatenate([self.encode_words([part.decode("utf-8")])[0] for part in segments(t.encode("utf-8"))]) if t else np.zeros(0, "<u4") for t in texts]
 
     def encode_words(self, texts: list) -> list[np.ndarray]:
-        words = [[] if not t else PARTS.findall(t) if OTHERS.search(t) or "<|" in t else ATOMS.findall(t.lower()) for t in texts]
+        odd = [bool(t) and (OTHERS.search(t) is not None or "<|" in t) for t in texts]
+        words = [[] if not t else PARTS.findall(t) if o else ATOMS.findall(t.lower()) for t, o in zip(texts, odd)]
         known = self.known
-        missing = list({w for own in words for w in own if w not in known})
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))} if missing else {}
+        out, open_, atoms, parts = [], [], set(), set()
+        for i, (own, o) in enumerate(zip(words, odd)):
+            ids = list(map(known.get, own))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word without known ids
+                out.append(b"")
+                open_.append((i, ids))
+                (parts if o else atoms).update([w for w, x in zip(own, ids) if x is None])
+        fresh = self.ids_of_atoms(list(atoms)) | self.ids_of_each(list(parts - atoms))
+        for i, ids in open_:
+            out[i] = b"".join([fresh[w] if x is None else x for w, x in zip(words[i], ids)])
         if len(known) + len(fresh) <= REMEMBERED:  # the first words seen are the frequent ones
             known.update(fresh)
-            fresh = {}
-        if not fresh:
-            return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in words]
-        return [np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in own]), "<u4") for own in words]
+        return [np.frombuffer(x, "<u4") for x in out]
+
+    def ids_of_each(self, words: list) -> dict[str, bytes]:
+        """The ids of texts that the tokenizer may part further."""
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))} if words else {}
+
+    def ids_of_atoms(self, words: list) -> dict[str, bytes]:
+        """The ids of words that the tokenizer doesn't part further, encoded as one text; if
+        it counts other words than there are, one by one."""
+        if not words:
+            return {}
+        line = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        # White space before a word moves no number: numbers only tell words apart.
+        own = np.array(line.word_ids, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        if len(first) != len(words):
+            return self.ids_of_each(words)
+        ids, bounds = np.array(line.ids, "<u4").tobytes(), (4 * np.append(first, len(own))).tolist()
+        return {w: ids[a:b] for w, a, b in zip(words, bounds, bounds[1:])}
 
 
 _encoders: dict[str, Encoder] = {}
