@@ -10,6 +10,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,16 +66,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pieces(texts: list, limit: int = PIECE_CHARS):
-    """(from, to) of runs of texts with about ``limit`` characters; one text is never cut."""
+def pieces(column: pa.Array, limit: int = PIECE_CHARS):
+    """(from, to, texts) of runs of texts with about ``limit`` bytes; one text is never cut.
+
+    Only a run's texts are Python's strings at a time, not those of a whole batch."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text or "") > limit:
-            yield start, i
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > start and size + n > limit:
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, size = i, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(column):
+        yield start, len(column), column.slice(start).to_pylist()
 
 
 def segments(data: bytes, limit: int = PIECE_CHARS):

@@ -424,9 +424,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
 
     def run(batches):
         for batch in batches:
-            sources = batch.column(2).to_pylist()
-            for start, end in pieces(sources):
-                texts = extract(sources[start:end], model)
+            for start, end, sources in pieces(batch.column(2)):
+                texts = extract(sources, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -81,9 +81,9 @@ def sketches(width: int, rows: int, bands: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, end in pieces(texts):
-                sets = shingle_sets(texts[start:end], width, hashes)
+            ids = batch.column(0)
+            for start, end, texts in pieces(batch.column(1)):
+                sets = shingle_sets(texts, width, hashes)
                 full = [s for s in sets if len(s)]
                 keys = np.zeros((0, bands), np.int64)
                 if full:
@@ -106,9 +106,8 @@ def packed_sets(width: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in pieces(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([s.tobytes() for s in shingle_sets(texts[start:end], width, hashes)], type=pa.binary())], schema=SETS)
+            for start, end, texts in pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([s.tobytes() for s in shingle_sets(texts, width, hashes)], type=pa.binary())], schema=SETS)
 
     return run
 

@@ -255,10 +255,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
         def sequences():
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                docs_ = batch.column(0).to_pylist()
-                for k in range(0, len(texts), 256):
-                    for doc, ids in zip(docs_[k : k + 256], encode(texts[k : k + 256])):
+                for k in range(0, len(batch), 256):
+                    some = batch.slice(k, 256)
+                    for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                         ids = np.concatenate([ids, end])
                         yield from packer.add(Item(doc, 0, len(ids), len(ids) - 1, len(ids), ids))
             yield from packer.fill(0)

@@ -109,9 +109,8 @@ def context_sums(batches):
     places, signs = index_vectors()
     total, known = np.zeros((ROWS, DIM + 1)), TokenRows()
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for start, end in pieces(texts):
-            flat, counts = token_rows(texts[start:end], known)
+        for _, _, texts in pieces(batch.column(0)):
+            flat, counts = token_rows(texts, known)
             if not len(flat):
                 continue
             doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
@@ -259,9 +258,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     def features(batches):
         known = TokenRows()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in pieces(texts):
-                x = document_vectors(texts[start:end], known, vectors, weights)
+            for start, end, texts in pieces(batch.column(1)):
+                x = document_vectors(texts, known, vectors, weights)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
     # At most max_labels ids, 16 bytes each: small enough to send everywhere.
@@ -276,8 +274,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     def score(batches):
         known = TokenRows()
         for batch in batches:
-            texts = batch.column(at).cast(pa.string()).to_pylist()
-            scores = [network.scores(document_vectors(texts[s:e], known, vectors, weights)) for s, e in pieces(texts)]
+            scores = [network.scores(document_vectors(texts, known, vectors, weights)) for _, _, texts in pieces(batch.column(at).cast(pa.string()))]
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=names)
 

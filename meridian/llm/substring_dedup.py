@@ -38,8 +38,10 @@ from .common import WordHashes, hashed_words, mix, pieces, segments, spread, tid
 
 GRAM = 8
 BASE = 0x9E3779B97F4A7C1D | 5
-#: Characters of the texts that a task combines before the shuffle.
-PIECE = 4_000_000
+#: Bytes of the texts that a task combines before the shuffle (about 40 times as many at work).
+PIECE = 1_000_000
+#: Bytes of texts whose cut forms are held at a time.
+APPLIED = 4_000_000
 #: One document of so many is in the sample that finds frequent minimizers; how many windows
 #: one must draw there; how many such minimizers may be sent to every task (8 bytes each).
 SAMPLED, FEW, HOT = 64, 200, 50_000
@@ -106,7 +108,7 @@ def drawn(width: int):
         hashes, kinds = WordHashes(), ["least", "n"]
         for batch in batches:
             least, n = [], []
-            for text in batch.column(0).to_pylist():
+            for text in (t for _, _, texts in pieces(batch.column(0)) for t in texts):
                 flat, _ = hashed_words([text], hashes)
                 win = rolling(flat, width)
                 if len(win):
@@ -181,9 +183,8 @@ def windows(width: int, buckets: int, hot: np.ndarray):
         hashes = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_pylist()
-            for start, end in pieces(texts, PIECE):
-                out = piece(ids[start:end], texts[start:end], hashes)
+            for start, end, texts in pieces(batch.column(1), PIECE):
+                out = piece(ids[start:end], texts, hashes)
                 if out is not None:
                     yield out
 
@@ -294,11 +295,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             columns = batch.columns
             cuts = columns.pop().to_pylist()
-            rows = []
-            for text, cut in zip(columns[text_at].to_pylist(), cuts):
-                total, gone, kept, digest = cut_out(text, spans([(x["cut_from"], x["cut_to"]) for x in cut or ()]))
-                rows.append((total, gone, text if kept is None else kept.decode("utf-8", "surrogatepass"), digest))
-            n, gone, kept, digest = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=schema.names)
+            for start, end, texts in pieces(columns[text_at].cast(pa.string()), APPLIED):
+                rows = []
+                for text, cut in zip(texts, cuts[start:end]):
+                    total, gone, kept, digest = cut_out(text, spans([(x["cut_from"], x["cut_to"]) for x in cut or ()]))
+                    rows.append((total, gone, text if kept is None else kept.decode("utf-8", "surrogatepass"), digest))
+                n, gone, kept, digest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in columns), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=schema.names)
 
     return joined.mapInArrow(tidy(apply), schema)
