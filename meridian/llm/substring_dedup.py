@@ -7,12 +7,15 @@ the minimizer names, so equal windows always meet. There all windows are counted
 each one whose word sequence also starts in a document with a smaller id comes back as
 part of a removal interval; overlapping intervals are merged and cut out.
 
-Equal windows of one batch are combined before the shuffle: only the batch's smallest
-document of a window travels, so a passage that a third of all documents hold sends one
-record for each batch. A run of words that is frequent among different passages (a
-greeting, a slogan) would draw all their windows to one task as their minimizer; such
-minimizers are found by counting on a sample of the documents, and their windows are dealt
-by their own hash instead. The sample decides only where windows are counted.
+Equal windows of one piece of a batch are combined before the shuffle: only the piece's
+smallest document of a window travels, so a passage that a third of all documents hold sends
+one record for each piece; what the other documents of the piece repeat is one interval for
+each stretch of their words, whatever its minimizers. A run of words that is frequent among
+different passages (a greeting, a slogan) would draw all their windows to one task as their
+minimizer; such minimizers are found by counting different windows on a sample of the
+documents (copies of a window count as often as they can travel, once for each piece), and
+their windows are dealt by their own hash instead. The sample decides only where windows are
+counted.
 
 Windows are equal if their 64-bit hashes are: of n different windows some n^2 / 2^65 pairs
 are taken for equal wrongly, one in 10^10 windows of a corpus of 10^9.
@@ -45,6 +48,10 @@ APPLIED = 4_000_000
 #: One document of so many is in the sample that finds frequent minimizers; how many windows
 #: one must draw there; how many such minimizers may be sent to every task (8 bytes each).
 SAMPLED, FEW, HOT = 64, 200, 50_000
+#: One window in so many, by its hash, is counted in the sample's documents.
+THINNED = 8
+#: Marks the totals of all rows among the sample's counts.
+PIECES, BYTES = 0, 1
 #: Marks cuts that a batch has settled itself.
 SETTLED = -1
 
@@ -101,32 +108,38 @@ def minimizers(flat: np.ndarray, width: int) -> np.ndarray:
 
 
 def drawn(width: int):
-    """(minimizer, different windows that it draws) of each sampled text, and of all rows
-    (null, bytes of their texts)."""
+    """(minimizer, window, sampled texts that hold it) of one window in THINNED, and of all rows
+    (null, PIECES, how many they make) and (null, BYTES, size of their texts)."""
 
     def run(batches):
-        hashes, kinds = WordHashes(), ["least", "n"]
+        hashes, kinds = WordHashes(), ["least", "win", "n"]
         for batch in batches:
-            least, n = [], []
+            least, windows = [], []
             for text in (t for _, _, texts in pieces(batch.column(0)) for t in texts):
                 flat, _ = hashed_words([text], hashes)
                 win = rolling(flat, width)
-                if len(win):
-                    own, count = np.unique(minimizers(flat, width)[np.unique(win, return_index=True)[1]], return_counts=True)
-                    least.append(own.view(np.int64))
-                    n.append(count.astype(np.int64))
+                some = np.flatnonzero(win % np.uint64(THINNED) == 0)
+                if len(some):
+                    own, at = np.unique(win[some], return_index=True)
+                    least.append(minimizers(flat, width)[some[at]])
+                    windows.append(own)
             size = int(np.nansum(batch.column(1).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([size], pa.int64())], names=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([None, None], [PIECES, BYTES], [-(-size // PIECE), size])], names=kinds)
             if least:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(least)), pa.array(np.concatenate(n))], names=kinds)
+                own, at, count = np.unique(np.concatenate(windows), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(least)[at].view(np.int64), own.view(np.int64), count.astype(np.int64))], names=kinds)
 
     return run
 
 
-def hot_minimizers(counts: DataFrame, width: int, windows_a_bucket: float) -> np.ndarray:
+def hot_minimizers(counts: DataFrame, width: int, windows_a_bucket: float, n_pieces: int) -> np.ndarray:
     """Minimizers that seem to draw more than half a bucket's windows, at most HOT of them,
-    the most frequent first."""
-    rows = counts.where(F.col("least").isNotNull() & (F.col("n") > max(FEW, windows_a_bucket / 2 / SAMPLED))).orderBy(F.desc("n"), "least").limit(HOT).collect()
+    the most frequent first.
+
+    Copies of one window travel once for each piece, so more of them draw no more."""
+    met = F.least(F.col("n").cast("double"), F.lit(max(1.0, n_pieces / SAMPLED)))
+    drawn_by = counts.where("least is not null").groupBy("least").agg((F.sum(met) * THINNED).alias("n"))
+    rows = drawn_by.where(F.col("n") > max(FEW, windows_a_bucket / 2 / SAMPLED)).orderBy(F.desc("n"), "least").limit(HOT).collect()
     return np.sort(np.array([r.least for r in rows], np.int64).view(np.uint64))
 
 
@@ -158,8 +171,8 @@ def windows(width: int, buckets: int, hot: np.ndarray):
         smallest = np.empty(len(win), np.int64)
         smallest[by] = first_id[by][new][np.cumsum(new) - 1]
         travels = first_id == smallest
-        # A run: neighbours in one document with one minimizer, all travelling or all cut.
-        edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1]) | (travels[1:] != travels[:-1])])
+        # A run: neighbours in one document, all cut or all travelling to one minimizer.
+        edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (travels[1:] != travels[:-1]) | (travels[1:] & (least[1:] != least[:-1]))])
         at = np.flatnonzero(edge)
         length = np.diff(np.concatenate([at, [len(win)]])).astype(np.int32)
         cut, held = at[~travels[at]], travels[at]
@@ -275,13 +288,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
     # One pass gives the size of all texts and the sample's minimizers.
     picked = F.when(F.pmod(F.xxhash64(F.lit("sample"), "doc"), F.lit(SAMPLED)) == 0, F.col("text")).alias("text")
-    counts = read.select(picked, F.octet_length("text").cast("long").alias("n")).mapInArrow(tidy(drawn(width)), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
-    counts = scratch(counts.where(F.col("least").isNull() | (F.col("n") > FEW)), "minimizers")
-    chars = counts.where("least is null").agg(F.sum("n")).first()[0] or 0
+    counts = read.select(picked, F.octet_length("text").cast("long").alias("n")).mapInArrow(tidy(drawn(width)), "least long, win long, n long")
+    counts = scratch(counts.groupBy("least", "win").agg(F.sum("n").alias("n")), "minimizers")
+    totals = {r.win: r.n for r in counts.where("least is null").collect()}
+    n_pieces, chars = totals.get(PIECES, 0), totals.get(BYTES, 0)
     # About 32 MB of text, and so 48 MB of hashes, for each task that counts.
     parts = max(spread(spark), chars // 32_000_000)
     buckets = max(4 * parts, chars // 6 // words_a_bucket + 1)
-    hot = hot_minimizers(counts, width, chars / 6 / buckets)
+    hot = hot_minimizers(counts, width, chars / 6 / buckets, n_pieces)
     runs = read.mapInArrow(tidy(windows(width, buckets, hot)), "bucket int, hashes binary, docs binary, starts binary, lengths binary")
     # Cuts settled within a batch are dealt out by what they hold, buckets by their number.
     dealt = runs.repartition(parts, F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("docs", "starts"))).sortWithinPartitions("bucket")

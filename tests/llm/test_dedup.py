@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,31 @@ def test_checkpoint_folder(spark):
     kept = work.keep(spark.range(3), "x")
     assert kept.count() == 3
     work.drop(kept)
+
+
+def cut_rows(texts, hot=()):
+    """The cuts that buckets give for texts of one batch, counted outside Spark."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc", "text"])
+    rows = pa.Table.from_batches(sd.windows(50, 8, np.array(sorted(hot), np.uint64))([batch])).sort_by("bucket")
+    return [tuple(r.values()) for b in sd.counted(50)(rows.to_batches()) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_copies_in_a_batch_are_one_cut_each(dealt):
+    """However many minimizers a repeated passage has, and if they are all frequent ones."""
+    text, passage = prose(300, 5), prose(90, 6)
+    texts = [text] * 40 + [f"{prose(20, 10 + i)} {passage} {prose(20, 90 + i)}" for i in range(30)]
+    hot = {int(x) for t in texts for x in sd.minimizers(WordHashes().of(words(t)), 50)} if dealt else ()
+    assert sorted(cut_rows(texts, hot)) == [(d, 0, 300) for d in range(1, 40)] + [(d, 20, 110) for d in range(41, 70)]
+
+
+def test_copies_of_a_text_make_no_minimizer_frequent(spark, monkeypatch):
+    """They travel once for each piece, so their number is not that of different windows."""
+    monkeypatch.setattr(sd, "SAMPLED", 1)
+    monkeypatch.setattr(sd, "FEW", 60)
+    found, hot = [], sd.hot_minimizers
+    monkeypatch.setattr(sd, "hot_minimizers", lambda *a: found.append(hot(*a)) or found[-1])
+    texts = [prose(300, 5)] * 200 + [prose(300, 10 + i) for i in range(200)]
+    got = sd.remove_repeats(documents(spark, texts).repartition(5)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == brute_cut(texts, 50)
+    assert [len(x) for x in found] == [0]
