@@ -8,6 +8,7 @@ import corpus_pipeline as cp
 from meridian.llm import queries as q
 from meridian.llm.common import Work
 
+from .helpers import documents, prose
 from .test_dedup import brute_near, words
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -97,3 +98,23 @@ def test_nothing_else_imports_the_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
+
+
+def test_a_shared_passage_is_one_cut_a_document(spark, monkeypatch):
+    """In one piece of a batch, however many runs of windows the passage has."""
+    frame, made = type(spark.range(1)), []
+    plain = frame.mapInArrow
+
+    def seen(df, run, schema, *args, **kwargs):
+        out = plain(df, run, schema, *args, **kwargs)
+        if "cut_from" in str(schema):
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    passage = prose(150, 6)
+    for n in (20, 40):
+        docs = documents(spark, [f"{prose(20, 10 + i)} {passage} {prose(20, 90 + i)}" for i in range(n)]).coalesce(1)
+        out = {r.doc_id: r.text for r in cp.cut_repeats(spark, docs, None).collect()}
+        assert all(len(words(out[i])) == (190 if i == 0 else 40) for i in range(n))
+        assert sorted(map(tuple, made[-1].collect())) == [(i, 20, 170) for i in range(1, n)]
