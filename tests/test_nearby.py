@@ -101,7 +101,7 @@ def test_search_equals_going_through_all(monkeypatch, frames, salt):
     assert {r.req_id: list(r.point_ids) for r in first} == {k: ids for k, x, y in probes if (ids := one_by_one(points, x, y, 0.5, FIRST))}
 
 
-@pytest.mark.parametrize("name", ["pick_fold", "pick_nearest", "pick_weight_first"])
+@pytest.mark.parametrize("name", ["pick_fold", "pick_nearest", "pick_weight_first", "early_stop"])
 def test_no_pair_is_a_row(spark, sf_dir, name):
     """Probes and points never meet in a join, so nothing that grows with their product is shuffled."""
     from meridian.plans import queries as plans
