@@ -10,7 +10,7 @@ from .spatial import FOLD, search
 from .zones import SENT_VERTICES, TOLERANCE, load_zones, zones_of
 
 
-def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radius: float = DEFAULT_RADIUS, *, keys: list[str] = ("req_id",), mode: str = FOLD, sent_vertices: int = SENT_VERTICES, salt: int | None = 1) -> DataFrame:
+def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radius: float = DEFAULT_RADIUS, *, keys: list[str] = ("req_id",), mode: str = FOLD, sent_vertices: int = SENT_VERTICES, salt: int | None = None) -> DataFrame:
     """The probes' keys, found, the address fields, country and weight.
 
     A probe takes the address of the point picked within the radius, its own region where
@@ -20,9 +20,8 @@ def reverse_geocode(probes: DataFrame, points: DataFrame, zones: DataFrame, radi
     that of ``search`` (None: measured).
     """
     keys = list(keys)
-    named = search(probes, points, radius, keys, mode, payload=ADDRESS_FIELDS, salt=salt).select(*keys, "point_id", *ADDRESS_FIELDS, "weight")
     placed = zones_of(probes.select(*keys, "lon", "lat"), zones, {"zone_region": REGION, "zone_country": COUNTRY}, sent_vertices=sent_vertices)
-    out = placed.join(named, keys, "left")
+    out = search(placed, points, radius, keys, mode, payload=ADDRESS_FIELDS, salt=salt, carry=["zone_region", "zone_country"], keep=True)
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     region = F.coalesce(some("region"), some("zone_region"), F.lit(""))
     country = F.coalesce(some("zone_country"), F.lit(""))

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 
 from meridian.operators import nearby, spatial
+from meridian.operators.geocode import reverse_geocode
 from meridian.operators.nearby import FIRST, FOLD, NEAREST, WEIGHT_FIRST, Nearby
 
+from .test_search import square
+
 
 def one_by_one(points, x, y, radius, mode, k=3):
     """(d2, weight, visit) of the choice, or the first ids; points are (id, visit, x, y, weight)."""
@@ -101,7 +104,16 @@ def test_search_equals_going_through_all(monkeypatch, frames, salt):
     assert {r.req_id: list(r.point_ids) for r in first} == {k: ids for k, x, y in probes if (ids := one_by_one(points, x, y, 0.5, FIRST))}
 
 
-@pytest.mark.parametrize("name", ["pick_fold", "pick_nearest", "pick_weight_first", "early_stop"])
+def test_probes_without_a_place_are_answered(spark, frames):
+    _, probes, odd, p, q = frames
+    texts = p.selectExpr("*", "'n' AS name", "'s' AS street", "'1' AS house_number", "'c' AS city", "'' AS region")
+    got = {r.req_id: r.found for r in reverse_geocode(q, texts, square(spark, [(1, 1, "R", 40, 40, 60, 60)]), 0.5).collect()}
+    assert len(got) == len(probes) + len(odd) and [got[k] for k, *_ in odd] == [False, False, False, True]
+    none = reverse_geocode(q, texts.where("false"), square(spark, [(1, 1, "R", 40, 40, 60, 60)]), 0.5).where("found").collect()
+    assert [r.req_id for r in none] == [903]
+
+
+@pytest.mark.parametrize("name", ["pick_fold", "pick_nearest", "pick_weight_first", "early_stop", "reverse_geocode_fold", "single_geocode", "read_answers", "batch_geocode", "cache_geocode"])
 def test_no_pair_is_a_row(spark, sf_dir, name):
     """Probes and points never meet in a join, so nothing that grows with their product is shuffled."""
     from meridian.plans import queries as plans
