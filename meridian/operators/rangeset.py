@@ -83,13 +83,28 @@ def covered(ranges: DataFrame) -> DataFrame:
     return ranges.where("lo < hi").withColumn("c", F.explode(F.expr(f"aggregate(sequence(0, {LEVELS - 1}), {start}, (s, n) -> {step}, s -> s.cells)"))).select(*ranges.columns, "c.level", "c.cell")
 
 
+#: So many blocks of the levels that have fewest are sent to all tasks.
+SENT_BLOCKS = 100_000
+
+
 def holding(ranges: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The keys' rows joined with each range that holds the key: an equi-join on blocks, in
-    which every match is a result. A key looks only at levels that some range has."""
+    which every match is a result. A key looks only at levels that some range has, and is
+    shuffled only for those with many blocks: a few wide ranges have few blocks on many levels."""
     cells = scratch(covered(ranges), "blocks")
-    levels = [r.level for r in cells.select("level").distinct().collect()]  # at most LEVELS
-    asked = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    return asked.withColumn("cell", F.expr(f"shiftright(`{key}`, level * {BITS})")).join(cells, ["level", "cell"]).drop("level", "cell")
+    few, many, total = [], [], 0
+    for level, n in sorted(((r.level, r.n) for r in cells.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda r: r[1]):  # at most LEVELS
+        total += n
+        (few if total <= SENT_BLOCKS else many).append(level)
+
+    def met(levels: list[int], sent: bool) -> DataFrame:
+        own = cells.where(F.col("level").isin(levels) if levels else F.lit(False))
+        asked = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+        return asked.withColumn("cell", F.expr(f"shiftright(`{key}`, level * {BITS})")).join(F.broadcast(own) if sent else own, ["level", "cell"]).drop("level", "cell")
+
+    if few and many:
+        return met(few, True).unionByName(met(many, False))
+    return met(few or many, not many)
 
 
 def get(ranges: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:

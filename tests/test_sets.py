@@ -126,3 +126,24 @@ def test_sampler_and_observation(spark):
 def test_distinct_points(spark):
     rows = spark.createDataFrame([(1, 0.0, "a"), (2, 0.0, "a"), (3, 0.0, "b")], "point_id long, x double, name string")
     assert sorted(map(tuple, rangeset.distinct_points(rows).collect())) == [(1, 0.0, "a"), (3, 0.0, "b")]
+
+
+def test_few_wide_ranges_send_no_key_to_every_level(spark, monkeypatch):
+    """Blocks of levels with few are sent; a key is shuffled for the crowded level only, with equal answers."""
+    narrow = spark.range(0, 3000, 3).selectExpr("id AS lo", "id + 2 AS hi", "CAST(id AS STRING) AS value")
+    ranges = narrow.unionByName(spark.createDataFrame([(10**6 + 1, 2**61 + 5, "wide"), (-(2**40), -7, "low")], "lo bigint, hi bigint, value string"))
+    keys = spark.range(-20, 3100).selectExpr("id AS key").unionByName(spark.range(1, 2000).selectExpr("id * 1000000007 AS key"))
+    whole = sorted(map(tuple, rangeset.get(ranges, keys).na.fill("").collect()))
+    assert {r[1] for r in whole if r[0] > 10**6} == {"wide"} and {r[1] for r in whole if r[0] < -7} == {"low"} and len(whole) == 5119
+    monkeypatch.setattr(rangeset, "SENT_BLOCKS", 500)
+    asked, seen = keys.distinct(), []
+    found = rangeset.holding(ranges, asked, "key")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, rangeset.get(ranges, keys).na.fill("").collect())) == whole
+    for line in text.splitlines():
+        if "Generate explode(" in line:
+            seen.append(line[line.index("[", line.index("explode(")) : line.index("]")].count(",") + 1)
+    assert len(seen) == 2 and min(seen) <= 2 < 10 < max(seen) and text.count("strategy=broadcast") == 1
+    monkeypatch.setattr(rangeset, "SENT_BLOCKS", 0)
+    assert sorted(map(tuple, rangeset.get(ranges, keys).na.fill("").collect())) == whole
+    assert rangeset.get(rangeset.empty(spark), keys).where("contains").count() == 0
