@@ -121,3 +121,19 @@ def test_no_pair_is_a_row(spark, sf_dir, name):
     text = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in text and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text and "MapInArrow" in text
     assert all("LeftSemi" in line or "LeftOuter" in line for line in text.splitlines() if "BroadcastHashJoin" in line)
+
+
+def test_a_radius_join_copies_points_and_not_probes(spark):
+    """Of many probes and few points the probes are shuffled once each."""
+    p = spark.range(10).selectExpr("id AS point_id", "CAST(id AS DOUBLE) AS x", "0D AS y")
+    q = spark.range(5000).selectExpr("id AS req_id", "id % 100 / 10D AS lon", "0D AS lat")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spatial.radius_join(q, p, 0.5)._jdf.queryExecution().executedPlan().toString()
+        sides = plan.split("Exchange hashpartitioning")[1:]
+        assert len(sides) == 2 and "explode([[" not in sides[0] and "explode([[" in sides[1]
+        assert spatial.radius_join(q, p, 0.5).count() == sum(abs(k % 100 / 10 - i) <= 0.5 for k in range(5000) for i in range(10))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
